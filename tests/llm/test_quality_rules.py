@@ -68,7 +68,8 @@ def test_junk_goes_and_clean_text_stays(spark):
     bad = [BAD.format(f"w{i}") for i in range(8)]
     docs = spark.createDataFrame(rows(good + bad), SCHEMA)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r.kept for r in quality_rules(docs, trusted_documents(labels)).collect()}
+    small = QualityParams(buckets=512, smoothing=0.1)
+    got = {r.doc_id: r.kept for r in quality_rules(docs, trusted_documents(labels), small).collect()}
     assert all(got[i] for i in range(40)) and not any(got[i] for i in range(40, 48))
 
 
