@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash
+from . import chat, mixing, packing, sharding, simhash
 from .common import table
 from .quality_rules import quality_rules, trusted_documents
 
@@ -20,6 +20,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted_documents(table(spark, sf_dir, "labels")))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(planted)
+    return chat.digest(chat.format_rows(rows))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_chat_formatting": op6_chat_formatting,
     "op7_mixing": op7_mixing,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
