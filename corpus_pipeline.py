@@ -6,10 +6,13 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kgraph.llm.common import materialize, table
+from kgraph.llm.mixing import mixed_documents
+from kgraph.llm.packing import pack
 from kgraph.llm.quality_rules import quality_rules, trusted_documents
+from kgraph.llm.simhash import keep_first
+from kgraph.llm.suffix_dedup import deduplicated
 
 #: SQL has no XXH64, no connected components and no bin packing, so there is none for the whole pipeline.
 ORACLE_SQL = None
@@ -17,12 +20,36 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    verdicts = quality_rules(docs, trusted_documents(table(spark, sf_dir, "labels"))).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(verdicts, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    trusted = trusted_documents(table(spark, sf_dir, "labels"))
+    return quality_rules(docs, trusted, carry=True).where("kept").select("row.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of SimHash near-duplicates."""
+    return keep_first(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without strings of 100 bytes or more that start earlier too."""
+    return deduplicated(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, with its place in a sequence."""
+    return pack(docs)
 
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_substrings", substring_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
 ]
 
 

@@ -56,30 +56,36 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
+def mix(docs: DataFrame, params: MixParams = MixParams(), carry: bool = False) -> DataFrame:
     """docs: doc_id, text, source.  Returns doc_id, source, size, source_size, target, copies, taken; a row per row.
 
     copies says how often the document is emitted, taken is copies * size.  Null text has size 0; a null source is a
     source; a source without words has target 0 and no copies.  Rows that share a doc_id share the draw.  Other columns
-    are ignored.  An empty table gives an empty result.
+    are ignored; with carry, a struct ``row`` has all of the document's columns.  An empty table gives an empty result.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    sized = docs.select("doc_id", "source", *carried, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), params)
     targets = targets.withColumnRenamed("source", "of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of_source")), "left").withColumn("rate", rate)
     extra = (uniform(F.col("doc_id"), params.seed) < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("copies", F.floor("rate") + extra).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id",
+        "source",
+        "size",
+        "source_size",
+        "target",
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        *(["row"] if carry else []),
     )
 
 
 def mixed_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
-    """The rows of docs, each as often as mix says; doc_id must be unique and not null."""
-    copies = mix(docs, params).select(F.col("doc_id").alias("mix_id"), F.col("copies").cast("int").alias("mix_copies"))
-    out = docs.join(copies.where("mix_copies > 0"), F.col("doc_id") == F.col("mix_id"))
-    repeated = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    return repeated.select(*docs.columns)
+    """The rows of docs, each as often as mix says."""
+    taken = mix(docs, params, carry=True).where("copies > 0")
+    return taken.select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")
 
 
 #: The same in DuckDB SQL, for the default parameters.

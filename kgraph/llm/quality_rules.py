@@ -121,15 +121,17 @@ def _repeat_words(words: Column) -> Column:
     return let(let(words, windows), covered)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, params: QualityParams = QualityParams(), carry: bool = False) -> DataFrame:
     """docs: doc_id, text.  Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     log_ratio, kept; a row for each row of docs.
 
     Null text counts as empty: no words, base_failed.  A text without n-grams has log_ratio 0.  Repeated doc_ids each
-    keep their row.  An empty table gives an empty result.  Other columns of docs are ignored.
+    keep their row.  An empty table gives an empty result.  Other columns of docs are ignored; with carry, a struct
+    ``row`` has all of the document's columns.
     """
     text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", text.alias("text")).select(
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    words = docs.select("doc_id", text.alias("text"), *carried).select(
         "*",
         F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"),
         log_ratio_table(docs, trusted, params).scalar().alias("table"),
@@ -150,6 +152,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, params: QualityParams = Q
         long(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         ratio.alias("log_ratio"),
+        *(["row"] if carry else []),
     )
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("log_ratio") >= params.threshold))

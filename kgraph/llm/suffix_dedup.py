@@ -485,13 +485,13 @@ def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     return found.where("span").select("doc", "tag", "a", "b").unionByName(contexts.mapInPandas(_ends(params), SPAN))
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, text_sha256 string, kept_sha256 string, kept string"
 
 
-def _apply(with_bytes: bool):
+def _apply(with_text: bool):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = zstandard.ZstdDecompressor()
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "text_sha256", "kept_sha256", "kept"]
         for batch in batches:
             out = []
             size = 0
@@ -511,8 +511,10 @@ def _apply(with_bytes: bool):
                     at = reach
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                size += len(left) if with_bytes else 0
-                out.append((None if doc == NO_ID else doc, len(raw), removed, count, hashlib.sha256(left).hexdigest(), left if with_bytes else None))
+                size += len(left) if with_text else 0
+                digests = (hashlib.sha256(x).hexdigest() for x in (raw, left))
+                text = left.decode("utf-8", "ignore") if with_text else None
+                out.append((None if doc == NO_ID else doc, len(raw), removed, count, *digests, text))
                 if size > 1 << 24:
                     yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
                     out, size = [], 0
@@ -521,9 +523,21 @@ def _apply(with_bytes: bool):
     return work
 
 
-def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), with_bytes: bool = False) -> DataFrame:
-    """docs: doc_id, text.  Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, if
-    asked for); a row per row.
+def deduplicated(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
+    """The rows of docs with what is left of their texts, and n_chars, if there is one, counted anew."""
+    kept = suffix_dedup(docs, params, with_text=True).select(
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_of"), "kept"
+    )
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rest = docs.withColumn("text_digest", digest).drop("text")
+    joined = rest.join(kept.dropDuplicates(["kept_id", "kept_of"]), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_digest") == F.col("kept_of")))
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return joined.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+
+
+def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), with_text: bool = False) -> DataFrame:
+    """docs: doc_id, text.  Returns doc_id, n_bytes, n_removed, n_spans, text_sha256, kept_sha256 and kept (the
+    remaining text, if asked for, without characters that were cut); a row per row.
 
     Null text counts as empty.  Null doc_ids come before all others.  Rows with equal doc_id and text are one document
     and get equal results; rows with equal doc_id and other texts are ordered by a digest of the text.  Empty tables give
@@ -533,4 +547,4 @@ def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), with_by
     spans = repeated_spans(keyed, params).groupBy("doc", "tag").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
     packed = keyed.mapInPandas(_packed, "doc long, tag long, packed binary")
     joined = packed.join(spans, ["doc", "tag"], "left").select("doc", "packed", "spans")
-    return joined.mapInPandas(_apply(with_bytes), KEPT)
+    return joined.mapInPandas(_apply(with_text), KEPT)
