@@ -1,10 +1,8 @@
-"""Query name -> (callable, oracle SQL)."""
+"""Query name -> callable, oracle SQL and the IDs of the operators that the query shows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import graph_queries  # noqa: F401
+from .plans.base import OPERATORS, ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES"]
