@@ -245,4 +245,4 @@ def edge_resolution(spark, sf_dir):
         F.lit("calls").alias("type"), F.array().cast("array<string>").alias("candidates"),
     )
     out = g.resolve_edges(imports.unionByName(calls), nodes)
-    return out.withColumn("found_id", F.when("resolved", F.col("target_id"))).drop("target_id")
+    return out.withColumn("found_id", F.when(F.col("resolved"), F.col("target_id"))).drop("target_id")
