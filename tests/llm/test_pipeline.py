@@ -50,7 +50,7 @@ def test_stages(spark, tmp_path):
     kept = {r.doc_id for r in quality_rules(spark.createDataFrame(rows, SCHEMA), trusted_documents(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect() if r.kept}
     assert {r["doc_id"] for r in seen[0]} == kept and 2002 not in kept
     assert all((r["text"], r["lang"], r["source"]) == original[r["doc_id"]][1:4] for r in seen[0])
-    firsts = {r.component_id for r in simhash_groups(frame(seen[0])).collect()}
+    firsts = {r.component_id for r in simhash_groups(frame(seen[0]), corpus_pipeline.NEAR).collect()}
     assert {r["doc_id"] for r in seen[1]} == firsts and not any(d >= 1000 for d in firsts)
     cut = {r.doc_id: r.kept for r in suffix_dedup(frame(seen[1]), with_text=True).collect()}
     assert {r["doc_id"]: r["text"] for r in seen[2]} == cut
