@@ -73,7 +73,7 @@ def policy_hash(rules: list[str]) -> str:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A6, DM3: file, ln (from 1), line: whole files are read so that line numbers are theirs."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("k", "line")).select("file", (F.col("k") + 1).cast("long").alias("ln"), "line").where(F.trim("line") != "")
 
 
