@@ -57,12 +57,12 @@ def direct_dependents(spark, sf_dir):
 walk AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE type = 'orders' AND id % 5 = 0
   UNION ALL SELECT root, target_id, depth + 1 FROM walk JOIN step ON source_id = id WHERE depth < 8),
 least AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY ALL)
-SELECT l.root, l.id, l.depth, min(p.id) AS parent FROM least l LEFT JOIN (SELECT p.root, p.id, p.depth, s.target_id FROM least p JOIN step s ON s.source_id = p.id) p
+SELECT l.root, l.id, l.depth, coalesce(min(p.id), -1) AS parent FROM least l LEFT JOIN (SELECT p.root, p.id, p.depth, s.target_id FROM least p JOIN step s ON s.source_id = p.id) p
   ON p.root = l.root AND p.target_id = l.id AND p.depth = l.depth - 1 GROUP BY ALL""",
 )
 def walk_flow(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return g.walk_flow(nodes.where("type = 'orders' AND id % 5 = 0"), edges)
+    return g.walk_flow(nodes.where("type = 'orders' AND id % 5 = 0"), edges).fillna(-1, ["parent"])
 
 
 @query(
@@ -226,7 +226,7 @@ raw AS (SELECT project, file, name AS source, CASE WHEN id % 3 = 0 THEN 'nation/
   UNION ALL SELECT project, file, 'nobody', CASE WHEN id % 2 = 0 THEN project ELSE name END, 'calls' FROM nodes WHERE type IN ('supplier', 'nation')),
 tries AS (SELECT project, file, source, target, type, k, CASE k WHEN 0 THEN target || '.x' WHEN 1 THEN target ELSE target || '/index' END AS try FROM raw, range(3) t(k) WHERE type = 'imports'),
 hit AS (SELECT t.project, t.file, t.source, t.target, arg_min(first_id, k) AS import_id FROM tries t JOIN firsts f ON f.project = t.project AND f.file = t.try GROUP BY ALL)
-SELECT r.project, r.file, r.type, coalesce(s.id, f.first_id) AS source_id, CASE WHEN r.type = 'imports' THEN h.import_id ELSE coalesce(i.id, p.id) END AS found_id, r.target,
+SELECT r.project, r.file, r.type, coalesce(s.id, f.first_id) AS source_id, coalesce(CASE WHEN r.type = 'imports' THEN h.import_id ELSE coalesce(i.id, p.id) END, -1) AS found_id, r.target,
   (CASE WHEN r.type = 'imports' THEN h.import_id ELSE coalesce(i.id, p.id) END) IS NOT NULL AS resolved
 FROM raw r LEFT JOIN hit h ON h.project = r.project AND h.file = r.file AND h.source = r.source AND h.target = r.target AND r.type = 'imports'
 LEFT JOIN own i ON i.project = r.project AND i.file = r.file AND i.name = r.target LEFT JOIN names p ON p.project = r.project AND p.name = r.target
@@ -245,4 +245,4 @@ def edge_resolution(spark, sf_dir):
         F.lit("calls").alias("type"), F.array().cast("array<string>").alias("candidates"),
     )
     out = g.resolve_edges(imports.unionByName(calls), nodes)
-    return out.withColumn("found_id", F.when(F.col("resolved"), F.col("target_id"))).drop("target_id")
+    return out.withColumn("found_id", F.when(F.col("resolved"), F.col("target_id")).otherwise(F.lit(-1))).drop("target_id")

@@ -164,15 +164,15 @@ def consolidate(spark, sf_dir):
     "audit_all",
     "O1 O4 O5 O7 D7 D9 A17",
     f"""WITH {GRAPH}, ends AS (SELECT source_id AS id FROM edges UNION SELECT target_id FROM edges)
-SELECT 'edge_types' AS "check", 'error' AS severity, 'unregistered edge type ' || t AS message, NULL::VARCHAR AS file, NULL::INT AS line FROM (VALUES ('imports'), ('calls')) x(t) WHERE t <> 'imports'
-UNION ALL SELECT 'orphans', 'warning', 'no edges: ' || name, file, line FROM nodes WHERE id NOT IN (SELECT id FROM ends)
-UNION ALL SELECT 'hashes', 'warning', 'content changed', lang || '/' || doc_id, NULL FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0
-UNION ALL SELECT 'hashes', 'warning', 'file gone', 'en/-' || k, NULL FROM (VALUES (1), (2), (3)) t(k)""",
+SELECT 'edge_types' AS "check", 'error' AS severity, 'unregistered edge type ' || t AS message, NULL::VARCHAR AS file, 0 AS line FROM (VALUES ('imports'), ('calls')) x(t) WHERE t <> 'imports'
+UNION ALL SELECT 'orphans', 'warning', 'no edges: ' || name, file, coalesce(line, 0) FROM nodes WHERE id NOT IN (SELECT id FROM ends)
+UNION ALL SELECT 'hashes', 'warning', 'content changed', lang || '/' || doc_id, 0 FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 5 = 0
+UNION ALL SELECT 'hashes', 'warning', 'file gone', 'en/-' || k, 0 FROM (VALUES (1), (2), (3)) t(k)""",
 )
 def audit_all(spark, sf_dir):
     nodes, edges = a.graph_nodes(spark, sf_dir), a.graph_edges(spark, sf_dir)
     types = a.edge_types(spark).where("name <> 'calls'")
-    return c.audit([c.audit_edge_types(edges.where("type <> 'queries_table'"), types), c.audit_orphans(nodes, edges), c.audit_hashes(*_hashes(spark, sf_dir))])
+    return c.audit([c.audit_edge_types(edges.where("type <> 'queries_table'"), types), c.audit_orphans(nodes, edges), c.audit_hashes(*_hashes(spark, sf_dir))]).fillna(0, ["line"])
 
 
 @query(

@@ -60,11 +60,11 @@ def decisions(spark, sf_dir):
     """WITH m AS (SELECT conv_id::VARCHAR AS session_id, turn AS ln, role AS side FROM conversations WHERE role IN ('user', 'assistant') AND length(trim(text)) > 0),
 t AS (SELECT *, coalesce(sum((side = 'user')::INT) OVER (PARTITION BY session_id ORDER BY ln), 0)::INT AS turn_no FROM m),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn_no, side ORDER BY ln) AS k FROM t)
-SELECT session_id, turn_no, max(ln) FILTER (side = 'user') AS user_ln, min(ln) FILTER (side = 'assistant' AND k = 1) AS assistant_ln, count(*) FILTER (side = 'assistant' AND k > 1) AS more,
-  min(ln) FILTER (side = 'assistant' AND k > 1) AS more_first, max(ln) FILTER (side = 'assistant' AND k > 1) AS more_last FROM k GROUP BY session_id, turn_no""",
+SELECT session_id, turn_no, coalesce(max(ln) FILTER (side = 'user'), -1) AS user_ln, coalesce(min(ln) FILTER (side = 'assistant' AND k = 1), -1) AS assistant_ln, count(*) FILTER (side = 'assistant' AND k > 1) AS more,
+  coalesce(min(ln) FILTER (side = 'assistant' AND k > 1), -1) AS more_first, coalesce(max(ln) FILTER (side = 'assistant' AND k > 1), -1) AS more_last FROM k GROUP BY session_id, turn_no""",
 )
 def compact_transcript(spark, sf_dir):
-    return s.compact_transcript(a.messages(spark, sf_dir))
+    return s.compact_transcript(a.messages(spark, sf_dir)).fillna(-1)
 
 
 @query(
