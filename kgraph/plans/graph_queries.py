@@ -184,12 +184,12 @@ def best_label(spark, sf_dir):
 @query(
     "find_nodes",
     "C4 I6",
-    f"""WITH {GRAPH}, ask AS (SELECT unnest(['EUROPE', 'customer#00000001', 'fr', 'nothing']) AS query),
+    f"""WITH {GRAPH}, ask AS (SELECT unnest(['EUROPE', 'customer#00000001', 'nation_1', 'nothing']) AS query),
 hits AS (SELECT query, (name <> query)::INT AS tier, id, project, file, name, type FROM nodes, ask WHERE name = query OR starts_with(lower(name), lower(query)))
 SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY query) AS best FROM hits) WHERE tier = best""".replace("SELECT * FROM (SELECT *, min", "SELECT query, tier, id, project, file, name, type FROM (SELECT *, min"),
 )
 def find_nodes(spark, sf_dir):
-    return g.find_nodes(a.graph_nodes(spark, sf_dir), ["EUROPE", "customer#00000001", "fr", "nothing"])
+    return g.find_nodes(a.graph_nodes(spark, sf_dir), ["EUROPE", "customer#00000001", "nation_1", "nothing"])
 
 
 @query(

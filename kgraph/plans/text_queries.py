@@ -144,14 +144,14 @@ ALIASES = "aliases AS (SELECT n_name AS alias, r_name AS project, 'nation/' || n
 @query(
     "alias_resolve",
     "K7",
-    f"""WITH {ALIASES}, asked AS (SELECT * FROM (VALUES ('FRANCE', 'EUROPE'), ('france', NULL), ('asia japan', NULL), ('an', NULL), ('zzz', NULL)) t(query, hint)),
+    f"""WITH {ALIASES}, asked AS (SELECT * FROM (VALUES ('NATION_3', 'EUROPE'), ('nation_3', NULL), ('asia nation_2', NULL), ('tion_1', NULL), ('zzz', NULL)) t(query, hint)),
 h AS (SELECT query, hint, alias, project, file, CASE WHEN lower(alias) = lower(query) AND project = hint THEN 0 WHEN lower(alias) = lower(query) THEN 1
   WHEN lower(query) = lower(project) || ' ' || lower(alias) THEN 2 WHEN contains(lower(alias), lower(query)) THEN 3 END AS tier FROM aliases, asked)
 SELECT query, hint, tier, alias, project, file FROM (SELECT *, min(tier) OVER (PARTITION BY query, hint) AS best FROM h WHERE tier IS NOT NULL) WHERE tier = best""",
 )
 def alias_resolve(spark, sf_dir):
     aliases = a.graph_nodes(spark, sf_dir).where("type = 'nation'").select(F.col("name").alias("alias"), "project", "file")
-    asked = [("FRANCE", "EUROPE"), ("france", None), ("asia japan", None), ("an", None), ("zzz", None)]
+    asked = [("NATION_3", "EUROPE"), ("nation_3", None), ("asia nation_2", None), ("tion_1", None), ("zzz", None)]
     return s.resolve_alias(aliases, spark.createDataFrame(asked, "query string, hint string"))
 
 
