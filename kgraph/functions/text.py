@@ -33,9 +33,8 @@ MAX_REDACT = 5 * 1024 * 1024
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits and underscores, of MIN_TERM characters or more, without stopwords."""
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     plain = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " "))
-    return F.filter(F.split(plain, "[^a-z0-9_]+"), lambda t: (F.length(t) >= MIN_TERM) & ~F.array_contains(stop, t))
+    return F.filter(F.split(plain, "[^a-z0-9_]+"), lambda t: (F.length(t) >= MIN_TERM) & ~t.isin(STOPWORDS))
 
 
 def without_reminders(text: Column) -> Column:
