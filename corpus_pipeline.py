@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kgraph.llm.common import materialize, table
 from kgraph.llm.mixing import mixed_documents
+from kgraph.llm.near_copies import keep_first_copy
 from kgraph.llm.packing import pack
 from kgraph.llm.quality_rules import quality_rules, trusted_documents
-from kgraph.llm.simhash import SimHashParams, keep_first
+from kgraph.llm.simhash import SimHashParams
 from kgraph.llm.suffix_dedup import deduplicated
 
 #: SQL has no XXH64, no connected components and no bin packing, so there is none for the whole pipeline.
 ORACLE_SQL = None
 
-#: Near copies of five-word similarity 0.8 lie about eight bits apart, where few are within three; six bits find half of
-#: them and still tell unrelated texts apart (about one pair in 10^11).
+#: Links of operator 1 that are tried first; only those of five-word similarity 0.8 or more count, and near_copies finds all
+#: such pairs that six bits miss.
 NEAR = SimHashParams(threshold=6)
 
 
@@ -29,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of SimHash near-duplicates."""
-    return keep_first(docs, NEAR)
+    """The first document of each group of near copies, and all documents without a doc_id."""
+    return keep_first_copy(docs, NEAR)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
