@@ -107,9 +107,35 @@ def active_signals(signals: DataFrame, trigger: str, threshold: int) -> DataFram
     return kept.orderBy(F.desc("weight"), "id")
 
 
+def _substrings(rows: DataFrame, column: str, lengths: DataFrame, name: str) -> DataFrame:
+    """column with each of its substrings that has one of the lengths."""
+    j = rows.join(F.broadcast(lengths), F.col("length") <= F.length(column))
+    starts = F.sequence(F.lit(1), F.length(column) - F.col("length") + 1)
+    return j.select(column, F.explode(starts).alias("at"), "length").select(column, F.substr(F.col(column), F.col("at"), F.col("length")).alias(name)).distinct()
+
+
+def _glob_pairs(patterns: DataFrame, paths: DataFrame) -> DataFrame:
+    """path, file_pattern (both distinct) where the glob matches.  Candidates have the glob's longest literal run as a
+    substring, by equality; only globs without a literal are held against every path."""
+    runs = F.transform(F.split("file_pattern", r"[*?]"), lambda r: F.struct((-F.length(r)).alias("n"), r.alias("run")))
+    keyed = patterns.withColumn("run", F.array_min(runs)["run"])
+    lengths = keyed.select(F.length("run").alias("length")).where("length > 0").distinct()
+    tried = _substrings(paths, "path", lengths, "run").join(keyed.where("run <> ''"), "run").select("path", "file_pattern")
+    every = paths.crossJoin(keyed.where("run = ''").select("file_pattern"))
+    return tried.unionByName(every).where(x.glob_matches(F.col("path"), F.col("file_pattern")))
+
+
+def _distinct_ends(signals: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return signals.select("file_pattern").where("file_pattern IS NOT NULL").distinct(), paths.select("path").where("path IS NOT NULL").distinct()
+
+
 def signals_for(signals: DataFrame, paths: DataFrame) -> DataFrame:
-    """Each path with the signals whose pattern names or matches it; signals are a small table, checked."""
-    return paths.join(F.broadcast(signals.where("file_pattern IS NOT NULL").limit(10_000)), F.contains("file_pattern", "path") | x.glob_matches(F.col("path"), F.col("file_pattern")))
+    """Each path with all signals whose pattern names or matches it."""
+    patterns, asked = _distinct_ends(signals, paths)
+    lengths = asked.select(F.length("path").alias("length")).distinct()
+    named = _substrings(patterns, "file_pattern", lengths, "path").join(asked, "path").select("path", "file_pattern")
+    pairs = named.unionByName(_glob_pairs(patterns, asked)).distinct()
+    return paths.join(pairs, "path").join(signals, "file_pattern")
 
 
 def stale_signals(signals: DataFrame, now: str, months: int = 6, below: int = 30) -> DataFrame:

@@ -132,6 +132,15 @@ def signals_for_paths(spark, sf_dir):
     return c.signals_for(_signals(spark, sf_dir).where("id <= 40"), paths).select("path", "id")
 
 
+def _customer_paths(spark, sf_dir):
+    return a.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"))
+
+
+@query("signals_for_all_paths", "C13 I24")
+def signals_for_all_paths(spark, sf_dir):
+    return c.signals_for(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
+
+
 @query("stale_signals", "L12", f"WITH {SIGNALS} SELECT id, weight FROM sg WHERE NOT archived AND weight < 30 AND updated_at < TIMESTAMP '2026-01-01' - INTERVAL 180 DAYS")
 def stale_signals(spark, sf_dir):
     return c.stale_signals(_signals(spark, sf_dir), "2026-01-01 00:00:00").select("id", "weight")
