@@ -138,6 +138,19 @@ def signals_for(signals: DataFrame, paths: DataFrame) -> DataFrame:
     return paths.join(pairs, "path").join(signals, "file_pattern")
 
 
+def project_signals(signals: DataFrame, projects: DataFrame) -> DataFrame:
+    """C11: projects: path (the project's name).  Its active signals: those whose pattern names or matches it."""
+    return signals_for(signals.where(~F.col("archived")), projects.where("path <> ''"))
+
+
+def pre_write_signals(signals: DataFrame, paths: DataFrame) -> DataFrame:
+    """Each file with its active pre-write signals; one without a pattern is for every file."""
+    active, files = signals.where(~F.col("archived") & (F.col("trigger") == "pre_write")), paths.where("path <> ''")
+    scoped, unscoped = active.where("file_pattern <> ''"), active.where("file_pattern IS NULL OR file_pattern = ''")
+    found = files.join(_glob_pairs(*_distinct_ends(scoped, files)), "path").join(scoped, "file_pattern")
+    return found.unionByName(files.crossJoin(unscoped).select(found.columns))
+
+
 def stale_signals(signals: DataFrame, now: str, months: int = 6, below: int = 30) -> DataFrame:
     """Weak and not touched for so many months of 30 days."""
     cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {months * 30} DAYS")

@@ -124,7 +124,7 @@ def signals_active(spark, sf_dir):
 
 @query(
     "signals_for_paths",
-    "C11 C12 C13 I24",
+    "C13 I24",
     f"""WITH {SIGNALS} SELECT 'customer/' || c_custkey AS path, id FROM customer, sg WHERE id <= 40 AND (contains('*/' || id || '?', 'customer/' || c_custkey) OR regexp_full_match('customer/' || c_custkey, '(?s).*/' || id || '.'))""",
 )
 def signals_for_paths(spark, sf_dir):
@@ -136,6 +136,16 @@ def _customer_paths(spark, sf_dir):
     return a.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"))
 
 
+@query("project_signals", "C11 C13 I24")
+def project_signals(spark, sf_dir):
+    return c.project_signals(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
+
+
+@query("pre_write_signals", "C12 I24")
+def pre_write_signals(spark, sf_dir):
+    return c.pre_write_signals(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
+
+
 @query("signals_for_all_paths", "C13 I24")
 def signals_for_all_paths(spark, sf_dir):
     return c.signals_for(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")

@@ -17,6 +17,8 @@ def test_whole_signals_against_brute_force(spark):
     get = lambda f: sorted((r.path, r.id) for r in f(signals, paths).collect())
     named = lambda g, p: g is not None and (p in g or matches(g, p))
     assert get(c.signals_for) == sorted((p, k) for p in PATHS for k, g, _, _ in rows if named(g, p))
+    assert get(c.project_signals) == sorted((p, k) for p in PATHS for k, g, _, z in rows if not z and named(g, p))
+    assert get(c.pre_write_signals) == sorted((p, k) for p in PATHS for k, g, t, z in rows if not z and t == "pre_write" and (not g or matches(g, p)))
 
 
 def test_more_than_ten_thousand_signals(spark):
