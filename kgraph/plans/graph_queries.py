@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..sources import adapters as a
-from .base import BEST, GRAPH, LABELS, query
+from .base import BEST, GRAPH, LABELS, ORACLE_SQL, query
 
 
 def _graph(spark, sf_dir):
@@ -37,6 +37,12 @@ def blast_radius_all_roots(spark, sf_dir):
     return g.blast_radius(roots, hops).select("root_project", "root", "file", "project", "depth")
 
 
+@query("blast_radius_whole", "J1 D1", _blast("true"))
+def blast_radius_whole(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return g.blast_radius(nodes, g.file_edges(nodes, edges, a.edge_types(spark))).select("root_project", "root", "file", "project", "depth")
+
+
 @query(
     "direct_dependents",
     "J2",
@@ -65,6 +71,12 @@ def walk_flow(spark, sf_dir):
     return g.walk_flow(nodes.where("type = 'orders' AND id % 5 = 0"), edges).fillna(-1, ["parent"])
 
 
+@query("walk_flow_whole", "J3", ORACLE_SQL["walk_flow"].replace(" AND id % 5 = 0", ""))
+def walk_flow_whole(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return g.walk_flow(nodes.where("type = 'orders'"), edges).fillna(-1, ["parent"])
+
+
 @query(
     "file_flow",
     "J4",
@@ -98,6 +110,18 @@ def node_bundle(spark, sf_dir):
     return g.node_bundle(nodes, edges, none).where("id % 8 IN (1, 3)").select("id", "direction", "type", "other_id", "other_name", "other_type")
 
 
+@query(
+    "node_bundle_whole",
+    "J6 D2",
+    f"""WITH {GRAPH}, {LABELS}, {BEST}, near AS (SELECT source_id AS id, 'out' AS direction, type, target_id AS other_id FROM edges UNION ALL SELECT target_id, 'in', type, source_id FROM edges)
+SELECT near.id, direction, near.type, other_id, n.name AS other_name, n.type AS other_type, coalesce(best.term, '') AS label FROM near JOIN nodes n ON n.id = other_id LEFT JOIN best ON best.node_id = other_id""",
+)
+def node_bundle_whole(spark, sf_dir):
+    """Labels are those of the document whose ID is the neighbour's."""
+    out = g.node_bundle(*_graph(spark, sf_dir), a.labels(spark, sf_dir)).fillna("", ["label"])
+    return out.select("id", "direction", "type", "other_id", "other_name", "other_type", "label")
+
+
 @query(
     "neighborhood_size",
     "J7 H6",

@@ -9,7 +9,7 @@ from ..operators import graph as g
 from ..operators import lifecycle as c
 from ..operators import search as s
 from ..sources import adapters as a
-from .base import GRAPH, LABELS, query
+from .base import GRAPH, LABELS, ORACLE_SQL, query
 from .text_queries import LINES
 
 
@@ -281,6 +281,15 @@ def file_collisions(spark, sf_dir):
     return c.overlaps(touched, docs.select("doc", (F.col("doc") + 1).alias("target")))
 
 
+@query("file_collisions_whole", "D17 P3 P4 E18 F12", ORACLE_SQL["file_collisions"].replace(" WHERE l_partkey <= 60", ""))
+def file_collisions_whole(spark, sf_dir):
+    t = a.table(spark, sf_dir, "lineitem")
+    first = F.col("l_linenumber") * 10
+    touched = t.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_suppkey").alias("doc"), first.alias("first"), (first + F.col("l_suppkey") % 12).alias("last"))
+    docs = touched.select("doc").distinct()
+    return c.overlaps(touched, docs.select("doc", (F.col("doc") + 1).alias("target")))
+
+
 @query(
     "dangling_subscribes",
     "D18 P5",
