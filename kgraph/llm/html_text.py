@@ -10,6 +10,7 @@ region, without the parts that are never main text, is its text.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -165,6 +166,8 @@ class Part:
     pages: int = 1
     variable: bool = False
     main: bool = False
+    #: Digests of its texts, where it says the same on every page that the wrapper is from.
+    constant: frozenset[str] = frozenset()
 
     @property
     def tag(self) -> str:
@@ -175,10 +178,24 @@ def _slot_text(node: Node) -> str:
     return " ".join("".join(p or "\n" for p in node.pieces).split())
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _said(node: Node) -> Iterator[str]:
+    """Digests of a container's texts, but of what is never main text."""
+    for c in node.children:
+        if c.sign != TEXT:
+            if not c.never:
+                yield from _said(c)
+        elif text := _slot_text(c):
+            yield _digest(text)
+
+
 def as_wrapper(node: Node) -> Part:
     if node.sign == TEXT:
         text = _slot_text(node)
-        return Part(TEXT, letters=max(0, len(text) - node.links), text=text[:2000])
+        return Part(TEXT, letters=max(0, len(text) - node.links), text=_digest(text))
     part = Part(node.sign, never=node.never)
     part.children = _folded([as_wrapper(c) for c in node.children if c.sign != TEXT or _slot_text(c)])
     return part
@@ -283,16 +300,25 @@ def mark_main(wrapper: Part) -> None:
         at = inner[0]
     at.main = True
     if varies and at.pages > 1:
-        # containers in the region that say the same on every page are the template's
+        # containers in the region that say the same on every page are the template's, on pages where they say just that
         for c in at.children:
             if c.sign != TEXT and _letters(c, False) > 0 and _letters(c, True) == 0 and not c.optional and c.pages > 1:
-                c.never = True
+                c.constant = frozenset(_constants(c))
+
+
+def _constants(part: Part) -> Iterator[str]:
+    for c in part.children:
+        if c.sign != TEXT:
+            if not c.never:
+                yield from _constants(c)
+        elif c.text:
+            yield c.text
 
 
 def to_json(part: Part) -> str:
     def plain(p: Part) -> list:
         flags = (p.optional << 0) | (p.repeated << 1) | (p.never << 2) | (p.main << 3)
-        return [p.sign, flags, [plain(c) for c in p.children]]
+        return [p.sign, flags, [plain(c) for c in p.children], sorted(p.constant)]
 
     return json.dumps(plain(part), ensure_ascii=False)
 
@@ -300,8 +326,8 @@ def to_json(part: Part) -> str:
 @lru_cache(256)
 def from_json(text: str) -> Part:
     def part(x: list) -> Part:
-        sign, flags, children = x
-        return Part(sign, [part(c) for c in children], bool(flags & 1), bool(flags & 2), bool(flags & 4), main=bool(flags & 8))
+        sign, flags, children, constant = x
+        return Part(sign, [part(c) for c in children], bool(flags & 1), bool(flags & 2), bool(flags & 4), main=bool(flags & 8), constant=frozenset(constant))
 
     return part(json.loads(text))
 
@@ -345,7 +371,7 @@ def _blocks(node: Node, part: Part | None, out: list[str], inner: bool = True) -
                     run = []
                 else:
                     run.append(html.unescape(piece) if "&" in piece else piece)
-        elif not child.never and not (own and own.never):
+        elif not child.never and not (own and (own.never or (own.constant and own.constant.issuperset(_said(child))))):
             _blocks(child, own, out)
 
 

@@ -75,3 +75,18 @@ def test_bad_rows(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, "a", 1), (1, "", 0), (2, "", 0), (3, "é", 1), (3, "é", 1)]
     assert main_text(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_template_is_dropped_only_where_its_text_is_the_same():
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choices(["alder", "birch", "cedar", "fir"], k=n))
+    build = lambda first, y, z: f"<body><section class=x>{first}</section><section class=y>{y}</section><section class=z>{z}</section></body>"
+    same = "Read all of our stories every day"
+    wrapper = from_json(to_json(infer([build(same, text(50), text(50)) for _ in range(8)])))
+    y, z = text(50), text(50)
+    assert extract(build(same, y, z), wrapper) == f"{y}\n\n{z}"
+    assert extract(build("Another text", y, z), wrapper) == f"Another text\n\n{y}\n\n{z}"
+    opening = "common " * 400
+    made = [(f"{opening}{k}", text(600), text(600)) for k in range(8)]
+    wrapper = from_json(to_json(infer([build(*m) for m in made])))
+    assert all(extract(build(*m), wrapper) == "\n\n".join(m) for m in made)
