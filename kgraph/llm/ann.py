@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 @dataclass(frozen=True)
 class AnnParams:
@@ -213,7 +215,7 @@ def search(rows: DataFrame, queries: DataFrame, params: AnnParams = AnnParams())
     but rows of its own vec_id, by Euclidean distance in double precision, ties to the smaller vec_id.
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is not the
-    sample's commonest.  A query with fewer than k rows in its parts may get fewer.  Rows that repeat count each.  Empty
+    sample's commonest.  A query with fewer than k rows in its parts is held against all rows, in blocks.  Rows that repeat count each.  Empty
     tables give an empty result.  Other columns are ignored.
 
     A part's rows are dealt into blocks by the hash of vec_id, so that a part of any size, one of many equal vectors, say,
@@ -240,11 +242,23 @@ def search(rows: DataFrame, queries: DataFrame, params: AnnParams = AnnParams())
     fits = F.size("vec") == index.dimension
     indexed = every.where(fits).mapInPandas(route(1), "vec_id long, vec array<double>, part int")
     asked = usable(queries).where(fits).mapInPandas(route(index.probes), "vec_id long, vec array<double>, part int")
-    sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks")).collect()
-    plan = F.broadcast(spark.createDataFrame([tuple(r) for r in sizes], "part int, blocks int"))  # a row per part
+    sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"), F.count("*").alias("rows")).collect()
+    plan = F.broadcast(spark.createDataFrame([(r.part, r.blocks) for r in sizes], "part int, blocks int"))  # a row per part
     block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     left = asked.join(plan, "part").select(F.col("vec_id").alias("query_id"), "vec", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = indexed.join(plan, "part").select("vec_id", "vec", "part", block.alias("block"))
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_rerank(params.k), FOUND)
+    near = lambda left, right: left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_rerank(params.k), FOUND)
+    found = materialize(near(left, right), "found")
+    # queries that repeat find their rows as often
+    wanted = usable(queries).where(fits).select(F.col("vec_id").alias("query_id"), "vec")
+    copies = wanted.groupBy("query_id").agg((F.count("*") * params.k).alias("wanted"))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = materialize(copies.join(counts, "query_id", "left").where("coalesce(n, 0) < wanted").select("query_id"), "short")
+    if not short.isEmpty():
+        blocks = max(1, -(-sum(r.rows for r in sizes) // params.block))
+        all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+        left = wanted.join(short, "query_id", "left_semi").select("query_id", "vec", F.lit(0).alias("part"), all_blocks)
+        right = every.where(fits).select("vec_id", "vec", F.lit(0).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        found = found.join(short, "query_id", "left_anti").unionByName(near(left, right))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")

@@ -68,3 +68,13 @@ def test_parts_are_balanced_and_follow_the_graph():
     assert (part[graph] == part[:, None]).mean() > 0.9
     index = learn(x, AnnParams(epochs=10))
     assert index.probes <= 4
+
+
+def test_queries_of_small_parts_get_k_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(8).astype(np.float32)]) for i in range(200)]
+    table = spark.createDataFrame([(*r, 1, "v", "p") for r in rows], SCHEMA)
+    got = collected(search(table, table, AnnParams(part_rows=8, recall=0.05, block=64)))
+    assert set(got) == {r[0] for r in rows} and {len(v) for v in got.values()} == {10}
+    want = brute(rows, [r[0] for r in rows])
+    assert sum(got[q] == want[q] for q in want) > 20
