@@ -5,22 +5,25 @@ cheap to join.  The rest is a prefix-filtered set join that loses nothing: shing
 (by counts in hashed buckets; any order is right); two sets of 0.8 or more share one of the first n - ceil(0.8 n) + 1
 shingles of each.  Pairs that meet there, in different components so far, are
 held against each other: by sketches that bound what they share, then in full.
+
+Sets are not stored, as they take more room than the texts: whoever needs one computes it anew, and only sets of documents
+in a pair that is tried are written.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 from .components import connected_components
 from .simhash import SimHashParams, fingerprint, links
+from .suffix_dedup import inverse_powers, mixed, prefix_hashes
 
 #: Words in a shingle, and the least similarity as LEAST[0] / LEAST[1].
 SHINGLE, LEAST = 5, (4, 5)
@@ -28,75 +31,140 @@ SHINGLE, LEAST = 5, (4, 5)
 BUCKETS = 1 << 17
 #: Ranges of hashes in which a sketch counts a set's shingles.
 RANGES = 128
+#: Bytes of text whose words are hashed together.
+SLICE = 1 << 20
+#: Factors of a shingle's words.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and begin of each word, A-Z lower-cased."""
+    a = np.frombuffer(data.lower(), np.uint8)
+    edge = np.diff(BLANK[a].astype(np.int8), prepend=1, append=1)
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = prefix_hashes(a)
+    return mixed((sums[end] - sums[begin]) * inverse_powers(len(a))[begin]), begin
+
+
+def _slices(data: bytes) -> Iterator[bytes]:
+    """The text cut at white space into slices of about SLICE bytes."""
+    at = 0
+    while at < len(data):
+        end = at + SLICE
+        while end < len(data) and not BLANK[data[end]]:
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles; a text of fewer words is one shingle, one without words none."""
+    n = len(words)
+    if n < SHINGLE:
+        return mixed((words * FACTORS[:n]).sum(keepdims=True) + np.uint64(n)) if n else words
+    return mixed(sum(words[j : n - SHINGLE + 1 + j] * FACTORS[j] for j in range(SHINGLE)))
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Hashes of each text's distinct shingles, sorted."""
+    raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    out: list[np.ndarray] = []
+    run: list[bytes] = []
+
+    def flush() -> None:
+        if run:
+            words, begin = _word_hashes(b" ".join(run))
+            cuts = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in run])[:-1])
+            out.extend(np.unique(_shingles(w).view(np.int64)) for w in np.split(words, cuts))
+            run.clear()
+
+    size = 0
+    for t in raw:
+        if len(t) > SLICE:
+            flush()
+            out.append(np.unique(_shingles(np.concatenate([_word_hashes(p)[0] for p in _slices(t)])).view(np.int64)))
+            continue
+        run.append(t)
+        size += len(t)
+        if size > SLICE:
+            flush()
+            size = 0
+    flush()
+    return out
+
 
+def node_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted; a text of fewer words is one shingle, one without words none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(b" ".join(words[i : i + SHINGLE]), 5) for i in range(max(1, len(words) - SHINGLE + 1))]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
 
+def _batches(texts, most: int = 2000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about four slices."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t) if isinstance(t, str) else 0
+        if size > 4 * SLICE or k + 1 - at >= most:
+            yield at, k + 1
+            at, size = k + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
-def _sets(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """doc_id, fp, node, sketch (counts of hashes by range), set; a row per row."""
+
+def _nodes(params: SimHashParams):
+    """Rows of doc_id, digest, text to doc_id, digest, fp, node."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            fps = np.array([fingerprint(t, params) for t in batch["text"]], dtype=np.uint64)
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
-            sketches = [np.bincount(s & (RANGES - 1), minlength=RANGES).astype("<i4").tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64), "node": nodes.view(np.int64), "sketch": sketches, "set": sets})
+            texts = batch["text"].tolist()
+            nodes = [node_of(s) for lo, hi in _batches(texts) for s in shingle_sets(texts[lo:hi])]
+            fps = np.array([fingerprint(t, params) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": fps, "node": np.array(nodes, np.int64)})
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(work, "doc_id long, fp long, node long, sketch binary, set array<long>")
-    return found.withColumn("row", F.monotonically_increasing_id())
+    return work
 
 
-def _bucket_counts(sets: DataFrame) -> np.ndarray:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(docs: DataFrame) -> np.ndarray:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1), minlength=BUCKETS)
+            texts = batch["text"].tolist()
+            for lo, hi in _batches(texts):
+                total += np.bincount(np.concatenate(shingle_sets(texts[lo:hi])) & (BUCKETS - 1), minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        yield pd.DataFrame({"bucket": at, "n": total[at]})
 
     # a row per bucket
-    found = sets.select("set").mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInPandas(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, np.int64)
     counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
-    """shingle, node, size, place: the first shingles of each set in the global order."""
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """shingle, node, size, place: the first shingles of each set in the global order.  Copies leave a task once."""
     # an order is enough: ranks are smaller than counts
-    rank = np.unique(_bucket_counts(sets), return_inverse=True)[1].astype(np.int32)
+    rank = np.unique(_bucket_counts(docs), return_inverse=True)[1].astype(np.int32)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
-            shingles, nodes, sizes, places = [], [], [], []
-            column = batch.column(1)
-            ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            seen = set()
-            for k, node in enumerate(batch.column(0).to_numpy(zero_copy_only=False).tolist()):
-                s = flat[ends[k] : ends[k + 1]]
-                n = len(s)
-                if not n or node in seen:
-                    continue
-                seen.add(node)
-                first = n - (LEAST[0] * n + LEAST[1] - 1) // LEAST[1] + 1
-                # s is sorted, so a stable sort breaks ties by hash
-                shingles.append(s[np.argsort(rank[s & (BUCKETS - 1)], kind="stable")[:first]])
-                nodes.append(np.full(first, node, np.int64))
-                sizes.append(np.full(first, n, np.int32))
-                places.append(np.arange(first, dtype=np.int32))
-            if shingles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (shingles, nodes, sizes, places)], ["shingle", "node", "size", "place"])
-
-    return sets.select("node", "set").mapInArrow(work, "shingle long, node long, size int, place int")
+            texts = batch["text"].tolist()
+            for lo, hi in _batches(texts):
+                out = []
+                for s in shingle_sets(texts[lo:hi]):
+                    n = len(s)
+                    if not n or (node := node_of(s)) in seen:
+                        continue
+                    seen.add(node)
+                    first = n - (LEAST[0] * n + LEAST[1] - 1) // LEAST[1] + 1
+                    # s is sorted, so a stable sort breaks ties by hash
+                    head = s[np.argsort(rank[s & (BUCKETS - 1)], kind="stable")[:first]]
+                    out.append((head, np.full(first, node, np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
+                if out:
+                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("shingle", "node", "size", "place"), zip(*out))})
+
+    return docs.select("text").mapInPandas(work, "shingle long, node long, size int, place int")
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,15 +221,27 @@ def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[both * sum(LEAST) >= LEAST[0] * size, ["u", "v"]]
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs u, v whose sets are alike enough.  owners: node, row, one row of sets per node."""
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of text to node, sketch (counts of hashes by range), set."""
+    for batch in batches:
+        texts = batch["text"].tolist()
+        for lo, hi in _batches(texts):
+            sets = shingle_sets(texts[lo:hi])
+            sketches = [np.bincount(s & (RANGES - 1), minlength=RANGES).astype("<i4").tobytes() for s in sets]
+            yield pd.DataFrame({"node": [node_of(s) for s in sets], "sketch": sketches, "set": sets})
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """The pairs u, v whose sets are alike enough.  owners: node, digest, one text of each node."""
     pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = docs.join(owners.join(ends, "node", "left_semi").select("digest"), "digest", "left_semi")
+    # copies of a text give the same set again
+    sets = asked.select("text").mapInPandas(_sets, "node long, sketch binary, set array<long>").dropDuplicates(["node"])
+    sets = materialize(sets, "sets")
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        asked = owners.join(ends, "node", "left_semi").select("row")
-        own = sets.join(asked, "row", "left_semi")
-        side = lambda k: own.select(F.col("node").alias(k), F.col(column).alias(f"{k}_{column}"))
+        side = lambda k: sets.select(F.col("node").alias(k), F.col(column).alias(f"{k}_{column}"))
         return pairs.join(side("u"), "u").join(side("v"), "v")
 
     pairs = materialize(with_both(pairs, "sketch").mapInPandas(_bounded, "u long, v long"), "candidates")
@@ -171,27 +251,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, owners: DataFrame) -> DataFram
 
 
 def near_copy_groups(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """docs: doc_id, text.  Returns doc_id, component_id (the smallest doc_id reachable over pairs of similarity 0.8 or
-    more, null if there is none); a row per row.  params: how operator 1 finds the links that are tried first."""
-    sets = materialize(_sets(docs, params), "sets")
-    owners = materialize(sets.groupBy("node").agg(F.min("row").alias("row")), "owners")
-    leads = sets.groupBy("fp").agg(F.min("node").alias("lead"))
+    """docs: doc_id, text.  Returns doc_id, digest (XXH64 of the text, null as empty), component (one value for all that are
+    reachable over pairs of similarity 0.8 or more); a row per row.  params: how operator 1 finds the links that are tried first.
+
+    Null and empty texts are one group, as are all texts without words.  Other columns are ignored.  An empty table gives
+    an empty result."""
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    nodes = materialize(docs.mapInPandas(_nodes(params), "doc_id long, digest long, fp long, node long"), "nodes")
+    owners = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
+    leads = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
     lead = lambda k: leads.select(F.col("fp").alias(k), F.col("lead").alias(f"{k}_lead"))
-    linked = links(sets.select("fp").distinct(), params).join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
-    same = sets.select("fp", "node").distinct().join(leads, "fp").select(F.col("lead").alias("u"), F.col("node").alias("v"))
-    first = _confirmed(linked.unionByName(same), sets, owners)
+    linked = links(nodes.select("fp").distinct(), params).join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    same = nodes.select("fp", "node").distinct().join(leads, "fp").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    first = _confirmed(linked.unionByName(same), docs, owners)
     parts = connected_components(first)
-    cells = _prefixes(sets).join(parts, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("component"))
+    cells = _prefixes(docs).join(parts, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("component"))
     spread = cells.repartition(partitions(docs.sparkSession), "shingle").sortWithinPartitions("shingle", "size", "node")
-    second = _confirmed(spread.mapInPandas(_meet, "u long, v long"), sets, owners)
+    second = _confirmed(spread.mapInPandas(_meet, "u long, v long"), docs, owners)
     parts = connected_components(first.unionByName(second))
-    named = sets.select("doc_id", "node").join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return named.join(ids, "component").select("doc_id", "component_id")
+    return nodes.join(parts, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
 
 
 def keep_first_copy(docs: DataFrame, params: SimHashParams) -> DataFrame:
-    """The rows of docs whose doc_id is their group's smallest, and those without a doc_id, with the columns of docs."""
-    kept = near_copy_groups(docs, params).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near copies, that of the smallest doc_id (null last, ties by a digest of the text), with
+    the columns of docs, whatever they are called.  Of rows that repeat in doc_id and text one stays."""
+    rows = near_copy_groups(docs, params).groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "n")).alias("best"))
+    keys = materialize(best.select(F.col("best.doc_id").alias("kept_id"), F.col("best.digest").alias("kept_digest"), F.col("best.n").alias("kept_n")), "kept")
+    carried = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("row_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_digest"),
+    )
+    same = (F.col("row_digest") == F.col("kept_digest")) & F.col("row_id").eqNullSafe(F.col("kept_id"))
+    kept = carried.join(keys.where("kept_n = 1"), same, "left_semi").select("row.*")
+    repeated = keys.where("kept_n > 1")
+    if repeated.isEmpty():
+        return kept
+    one = carried.join(repeated, same, "left_semi").groupBy("row_id", "row_digest").agg(F.first("row").alias("row"))
+    return kept.unionByName(one.select("row.*"))

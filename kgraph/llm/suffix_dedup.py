@@ -59,6 +59,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return _powers(n)[1]
+
+
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """sums[i] = sum over j < i of (data[j] + 1) * BASE^j."""
     power, _ = _powers(len(data))
@@ -67,7 +71,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
@@ -108,7 +112,7 @@ def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, params:
     sums = prefix_hashes(data)
     power, back = _powers(len(data))
     n = len(data) - gram + 1
-    h = _mix((sums[gram:] - sums[:-gram]) * back[:n])
+    h = mixed((sums[gram:] - sums[:-gram]) * back[:n])
     at = _window_minimum(h, width)
     starts = len(data) - length + 1
     valid = np.zeros(starts + 1, np.int8)
@@ -127,7 +131,7 @@ def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, params:
     text = np.searchsorted(begin, first, side="right") - 1
     whole = (sums[last + length] - sums[first]) * back[first]
     shape = (p - first).astype(np.uint64) * np.uint64(256) + (last - p + length).astype(np.uint64)
-    return text, first, last, p, h[p], _mix(whole) ^ (_mix(shape + np.uint64(1)) >> np.uint64(7))
+    return text, first, last, p, h[p], mixed(whole) ^ (mixed(shape + np.uint64(1)) >> np.uint64(7))
 
 
 def _pack(tag: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -158,7 +162,7 @@ def _runs(params: SuffixParams):
         head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
         gone = again & ((doc != doc[head]) | (place != place[head]))
         spans = _merged(doc[gone], tag[gone], first[gone], last[gone] + params.length)
-        route = _mix((spans[0] + spans[2]).view(np.uint64)).view(np.int64)
+        route = mixed((spans[0] + spans[2]).view(np.uint64)).view(np.int64)
         yield pd.DataFrame({"span": True, "h": route, "d": spans[2], "doc": spans[0], "place": (spans[1] << 48) | spans[3]})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

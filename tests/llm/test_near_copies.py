@@ -1,7 +1,7 @@
 import random
 
-import corpus_pipeline
-from kgraph.llm.near_copies import near_copy_groups
+from kgraph.llm.near_copies import SLICE, keep_first_copy, near_copy_groups, shingle_sets
+from kgraph.llm.simhash import SimHashParams
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,11 +46,35 @@ def make():
     return [(5000 - i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(None, "only here", "en", "s", 1), (None, texts[6], "en", "s", 1)]
 
 
+PARAMS = SimHashParams(shingle=5, threshold=6)
+
+
 def test_groups_are_those_of_brute_force(spark):
     rows = make()
     want = groups(rows)
-    got = [(r.doc_id, r.component_id) for r in near_copy_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), corpus_pipeline.NEAR).collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    out = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), "")
-    kept = sorted((r.doc_id for r in out.collect()), key=repr)
-    assert kept == sorted([d for d, g in want if d is None or d == g], key=repr) and kept.count(None) == 2
+    found = near_copy_groups(spark.createDataFrame(rows, SCHEMA).repartition(5), PARAMS).collect()
+    assert len(found) == len(rows)
+    least = {}
+    for r in found:
+        if r.doc_id is not None:
+            least[r.component] = min(r.doc_id, least.get(r.component, r.doc_id))
+    assert sorted(((r.doc_id, least.get(r.component)) for r in found), key=repr) == sorted(want, key=repr)
+    kept = sorted((r.doc_id for r in keep_first_copy(spark.createDataFrame(rows, SCHEMA), PARAMS).collect()), key=repr)
+    # the copy without an id goes, the text that only a row without one has stays
+    assert kept == sorted([d for d, g in want if d == g and d is not None] + [None], key=repr)
+
+
+def test_one_row_stays_of_rows_that_repeat_under_clashing_names(spark):
+    schema = "doc_id long, text string, kept_id long, row string, digest long, component long"
+    rows = [(7, "one text of six words here", 1, "a", 2, 3)] * 3 + [(7, "another text of six other words", 1, "b", 2, 3), (9, "one text of six words here", 1, "c", 2, 3)]
+    got = sorted(keep_first_copy(spark.createDataFrame(rows, schema).repartition(3), PARAMS).collect())
+    assert got == sorted([rows[0], rows[3]]) and got[0].__fields__ == [c.split()[0] for c in schema.split(", ")]
+    empty = spark.createDataFrame([], schema)
+    assert keep_first_copy(empty, PARAMS).collect() == [] and keep_first_copy(empty, PARAMS).columns == empty.columns
+
+
+def test_sets_of_long_texts_are_whole():
+    words = " ".join(f"w{i}" for i in range(SLICE // 4))
+    assert len(words) > SLICE
+    (long,), both = shingle_sets([words]), shingle_sets(["x", words, "a b c d e f"])
+    assert len(long) == SLICE // 4 - 4 and (both[1] == long).all() and len(both[2]) == 2
