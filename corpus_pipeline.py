@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 #: Links of operator 1 that are tried first; only those of five-word similarity 0.8 or more count, and near_copies finds all
 #: such pairs that six bits miss.
-NEAR = SimHashParams(threshold=6)
+NEAR = SimHashParams(shingle=5, threshold=6)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies, and all documents without a doc_id."""
+    """One document of each group of near copies."""
     return keep_first_copy(docs, NEAR)
 
 
