@@ -1,8 +1,8 @@
 """Packing documents into fixed windows by minimum bin slack.
 
-Documents are tokenised and cut into full windows and a rest.  Rests are packed in groups of a few thousand documents,
-chosen by the hash of doc_id, so that no task sees more than its group.  Within a group only the counts of rests of each
-length matter: the longest rest opens a window, a bitset subset-sum pass over the lengths left finds the multiset that
+Documents are tokenised and cut into full windows and a rest.  Pieces are packed in groups of a few thousand, chosen by
+the hash of the piece and of how often its task has met it, so that no task sees more than its group, whatever repeats.
+Within a group only the counts of pieces of each length matter: the longest rest opens a window, a bitset subset-sum pass over the lengths left finds the multiset that
 comes closest to the window's capacity, and backtracking gives how often each length is used.
 """
 
@@ -15,12 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import Encoder, default_vocabulary
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Tells rows that repeat apart: a number that their map task gives them.
+COPY = ", copy long"
 
 
 @dataclass(frozen=True)
@@ -83,15 +86,22 @@ def minimum_bin_slack(counts: dict[int, int], window: int) -> Iterator[tuple[lis
 def _pieces(params: PackParams):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(params.vocabulary or default_vocabulary())
+        # rows that repeat are alike, so it does not matter which of them gets which number
+        seen: dict[int, int] = {}
+        task = TaskContext.get()
+        place = (task.partitionId() if task else 0) << 40
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = np.append(encoder.encode(text or ""), np.array([params.end_id], "<u4"))
-                view = memoryview(ids.tobytes())
+                raw = ids.tobytes()
+                view = memoryview(raw)
                 n = len(ids)
+                key = hash((None if pd.isna(doc_id) else int(doc_id), zlib.crc32(raw), n))
+                seen[key] = copy = seen.get(key, -1) + 1
                 for at in range(0, n, params.window):
                     length = min(params.window, n - at)
-                    rows.append((doc_id, at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n))
+                    rows.append((doc_id, at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n, place + copy))
                 if len(rows) >= 10_000:
                     yield _frame(rows)
                     rows = []
@@ -101,14 +111,14 @@ def _pieces(params: PackParams):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+    out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "copy"])
     out["doc_id"] = out["doc_id"].astype("Int64")
     return out
 
 
 def pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
-    """Each document's ids cut into full windows and a rest."""
-    return docs.select("doc_id", "text").mapInPandas(_pieces(params), PIECE)
+    """Each document's ids cut into full windows and a rest, with a number that tells rows that repeat apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_pieces(params), PIECE + COPY)
 
 
 def _pack(params: PackParams):
@@ -141,9 +151,9 @@ def _pack(params: PackParams):
 def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """docs: doc_id, text.  Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null text counts as empty: one piece that holds the end id.  Rows that repeat are packed each.  Null doc_ids are one
-    key.  Empty tables give an empty result.  Other columns are ignored.
+    Null text counts as empty: one piece that holds the end id.  Rows that repeat are packed each, in several groups if
+    they are many; so are rows without a doc_id.  Empty tables give an empty result.  Other columns are ignored.
     """
     groups = max(1, math.ceil(docs.count() / params.group_docs))
-    cut = pieces(docs, params).withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    cut = pieces(docs, params).withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy"), F.lit(groups)))
     return cut.groupBy("group").applyInPandas(_pack(params), PIECE + ", sequence_id long, offset long")

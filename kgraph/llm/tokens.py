@@ -51,16 +51,32 @@ def _encodings(path: str):
     return make("full", public_tokenizers.PATTERN), make("plain", plain)
 
 
+@lru_cache(2)
+def _added(path: str):
+    """The vocabulary's tokenizer, and a pattern of its added tokens; None where the file names none."""
+    if not path.endswith(".json"):
+        return None, None
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        strings = [t["content"] for t in json.load(f).get("added_tokens") or []]
+    return (Tokenizer.from_file(path), re.compile("|".join(map(re.escape, strings)))) if strings else (None, None)
+
+
 class Encoder:
     """encode(text) gives the ids that the vocabulary's own tokenizer gives, as little-endian uint32.
 
-    Strings of special tokens are ordinary text.  Texts without two white-space characters in a row take a pattern without
-    look-ahead, which cuts them alike and is faster.
+    Texts with the string of an added token go to ``tokenizers`` itself, which gives that token's id for it.  All others
+    have the same ids from ``tiktoken``, which is faster; those without two white-space characters in a row take a pattern
+    without look-ahead, which cuts them alike and is faster still.
     """
 
     def __init__(self, path: str):
         self.full, self.plain = _encodings(path)
+        self.own, self.added = _added(path)
 
     def encode(self, text: str) -> np.ndarray:
+        if self.added and self.added.search(text):
+            return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
         encoding = self.full if BLANKS.search(text) else self.plain
         return np.array(encoding.encode_ordinary(text), dtype="<u4")

@@ -15,9 +15,7 @@ SCHEMA = "doc_id long, text string, start string, length string, group int, offs
 
 
 def reference():
-    t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_vocabulary())
 
 
 def test_ids_are_the_tokenizers():
@@ -78,5 +76,26 @@ def test_pack(spark):
     assert used / (2048 * len(sequences)) > 0.9
 
 
+def test_ids_of_special_strings(spark):
+    t, e = reference(), Encoder(default_vocabulary())
+    for text in ["<|endoftext|>", "<|endoftext|> hi", "a<|endoftext|><|endoftext|>  b\n\n c", "<|endoftext|", "x <|endoftext|>"]:
+        assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert e.encode("<|endoftext|> hi")[0] == t.token_to_id("<|endoftext|>")
+
+
+def test_rows_that_repeat_share_no_group(spark):
+    rows = [(None, "the same words " * 40, "s", "l", 1, 2)] * 1200
+    got = pack(spark.createDataFrame(rows, SCHEMA).repartition(3), PackParams(group_docs=100)).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in got)
+    assert sum(sizes.values()) == 1200 and len(sizes) > 8 and max(sizes.values()) < 250
+
+
+def test_long_texts_are_whole(spark):
+    text = "one two " * 60_000
+    got = pack(spark.createDataFrame([(1, text, "s", "l", 1, 2)], SCHEMA)).collect()
+    ids = reference().encode(text, add_special_tokens=False).ids
+    assert sum(r.length for r in got) == len(ids) + 1 == got[0].doc_tokens
+
+
 def test_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).collect() == []
