@@ -1,8 +1,10 @@
 """Approximate nearest neighbours over learned partitions.
 
-On a bounded sample, a neighbour graph is built and cut into balanced parts; a small classifier learns, from a vector,
-how its neighbours spread over the parts.  Every row is indexed under its likeliest part; a query goes to its several
-likeliest parts, as many as the sample needs for the wanted recall, and all rows there are reranked by exact distance.
+On a bounded sample, a neighbour graph is built and cut into balanced parts, whose number grows with the square root of the
+rows; a small classifier learns, from a vector, how its neighbours spread over the parts.  Every row is indexed under its
+likeliest part; a query goes to its likeliest parts, until they hold as much of its probability as the sample needs for the
+wanted recall, and all rows there are reranked by exact distance.  So a query that the classifier is sure of visits few
+parts, and one in data without structure many.  Vectors of another length have an index of their own.
 """
 
 from __future__ import annotations
@@ -23,18 +25,17 @@ class AnnParams:
     #: Nearest rows per query.
     k: int = 10
     #: The partitions are learned on at most so many rows, those with the smallest hash of vec_id.
-    max_sample: int = 4096
-    #: Parts, at most; small samples get one for every part_rows rows.
-    max_parts: int = 32
-    part_rows: int = 64
+    max_sample: int = 32768
+    #: Parts: the square root of the number of rows, but at most one for every part_rows rows of the sample.
+    part_rows: int = 32
     #: Neighbours in the graph.
     neighbours: int = 10
     hidden: int = 128
     epochs: int = 40
     batch: int = 128
     rate: float = 3e-3
-    #: Recall that the number of probed parts must reach on the sample.
-    recall: float = 0.97
+    #: Recall that the probed parts must reach on held-back rows of the sample.
+    recall: float = 0.95
     #: Rows of a part that one task holds against queries.
     block: int = 8192
     seed: int = 5
@@ -131,29 +132,46 @@ class Router:
         e = np.exp(x - x.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        """Parts by falling probability.  Rounded, so that equal vectors rank alike whatever they are computed with."""
-        h = np.maximum((x - self.mean) / self.scale @ self.w[0] + self.b[0], 0)
-        return np.argsort(-np.round(self._softmax(h @ self.w[1] + self.b[1]), 9), axis=1, kind="stable")
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts by falling probability, and what the parts before each have together.  Rounded, so that equal vectors rank
+        alike whatever they are computed with."""
+        h = np.maximum(np.clip((x - self.mean) / self.scale, -50, 50) @ self.w[0] + self.b[0], 0)
+        p = np.round(self._softmax(h @ self.w[1] + self.b[1]), 9)
+        order = np.argsort(-p, axis=1, kind="stable")
+        p = np.take_along_axis(p, order, axis=1)
+        return order, np.round(np.cumsum(p, axis=1) - p, 9)
 
 
 @dataclass
 class Index:
-    router: Router | None
-    parts: int
-    probes: int
-    dimension: int
+    """Of the vectors of one length.  unit: what components are divided by before they are routed."""
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        return np.zeros((len(x), 1), np.int64) if self.router is None else self.router.ranked(x)
+    router: Router | None = None
+    parts: int = 1
+    mass: float = 1.0
+    unit: float = 1.0
 
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return np.zeros(len(x), np.int64) if self.router is None else self.router.ranked(x / self.unit)[0][:, 0]
 
-def learn(x: np.ndarray, params: AnnParams = AnnParams()) -> Index:
-    """x: the sample's vectors."""
+    def probed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers and the parts that each visits: those before which less than mass lies."""
+        if self.router is None:
+            return np.arange(len(x)), np.zeros(len(x), np.int64)
+        order, before = self.router.ranked(x / self.unit)
+        row, place = np.nonzero(before < self.mass)
+        return row, order[row, place]
+
+
+def learn(x: np.ndarray, rows: int, params: AnnParams = AnnParams()) -> Index:
+    """x: the sample's vectors, of one length.  rows: how many vectors the index is for."""
     n = len(x)
-    parts = min(params.max_parts, n // params.part_rows)
+    parts = min(round(max(rows, n) ** 0.5), n // params.part_rows)
     if parts < 2:
-        return Index(None, 1, 1, x.shape[1] if n else 0)
+        return Index()
+    size = float(np.abs(x).max())
+    unit = 1.0 if 1e-100 < size < 1e100 else size
+    x = x / unit
     rng = np.random.default_rng(params.seed)
     graph = nearest(x, min(params.neighbours, n - 1))
     part = balanced_parts(graph, parts, rng)
@@ -161,17 +179,20 @@ def learn(x: np.ndarray, params: AnnParams = AnnParams()) -> Index:
     np.add.at(target, (np.repeat(np.arange(n), graph.shape[1]), part[graph].ravel()), 1.0)
     target[np.arange(n), part] += 1
     target /= target.sum(axis=1, keepdims=True)
-    # the number of probes is chosen on rows that the router was not trained on
+    # the mass to probe is chosen on rows that the router was not trained on
     test = rng.permutation(n)[: max(32, n // 5)]
     train = np.setdiff1d(np.arange(n), test)
     trial = Router(x[train], target[train], params)
-    order = trial.ranked(x)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(parts)[None, :], axis=1)
-    home = order[:, 0]
-    found = np.take_along_axis(place[test], home[graph[test]], axis=1)
-    probes = next(m for m in range(1, parts + 1) if (found < m).mean() >= params.recall or m == parts)
-    return Index(Router(x, target, params), parts, probes, x.shape[1])
+    home = np.concatenate([trial.ranked(x[at : at + 4096])[0][:, 0] for at in range(0, n, 4096)])
+    need = []
+    for at in range(0, len(test), 4096):
+        some = test[at : at + 4096]
+        order, before = trial.ranked(x[some])
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(parts)[None, :], axis=1)
+        need.append(np.take_along_axis(before, np.take_along_axis(place, home[graph[some]], axis=1), axis=1).ravel())
+    mass = float(np.quantile(np.concatenate(need), params.recall, method="higher")) + 1e-9
+    return Index(Router(x, target, params), parts, mass, unit)
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -186,23 +207,49 @@ def usable(rows: DataFrame) -> DataFrame:
 FOUND = "query_id long, vec_id long, score double"
 
 
+#: Components beyond this have squares that may not fit.
+WIDE = 1e100
+
+
+def _distances(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; differences whose squares do not fit are scaled first."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        d = c - q
+        out = np.sqrt((d * d).sum(axis=1))
+        most = np.abs(d).max(axis=1)
+        for j in np.flatnonzero((most > 1e150) | ((most < 1e-150) & (most > 0))):
+            m = np.abs(c[j] / 2 - q / 2).max()
+            h = (c[j] / 2 - q / 2) / m if m > 0 else d[j] / most[j]
+            out[j] = np.sqrt((h * h).sum()) * m * 2 if m > 0 else np.sqrt((h * h).sum()) * most[j]
+    return out
+
+
 def _rerank(k: int):
     def work(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
         if len(queries) and len(rows):
             q, c = np.stack(queries["vec"]), np.stack(rows["vec"])
             ids, own = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-            square = (c * c).sum(axis=1)
+            # rows too wide, or too small, for squares are held against every query in full
+            wild = lambda x: (np.abs(x).max(axis=1) > WIDE) | (np.abs(x).max(axis=1) < 1 / WIDE)
+            odd, odd_query = wild(c), wild(q)
+            tame = np.where(odd[:, None], 0.0, c)
+            square = (tame * tame).sum(axis=1)
             for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                rough = square - 2 * part @ c.T + (part * part).sum(axis=1)[:, None]
-                rough[own[at : at + 256, None] == ids[None, :]] = np.inf
+                part = np.where(odd_query[at : at + 256, None], 0.0, q[at : at + 256])
+                rough = square - 2 * part @ tame.T + (part * part).sum(axis=1)[:, None]
+                rough[:, odd] = np.inf
+                other = own[at : at + 256, None] != ids[None, :]
+                rough[~other] = np.inf
                 kth = np.partition(rough, min(k, len(c)) - 1, axis=1)[:, min(k, len(c)) - 1]
                 # rounding may misplace rows by far less than this
                 reach = kth + 1e-9 * (1 + np.abs(kth) + square.max())
                 for j in range(len(part)):
-                    near = np.flatnonzero(rough[j] <= (reach[j] if np.isfinite(reach[j]) else np.finfo(float).max))
-                    exact = np.sqrt(((c[near] - part[j]) ** 2).sum(axis=1))
+                    if odd_query[at + j] or not np.isfinite(reach[j]):
+                        near = np.flatnonzero(other[j])
+                    else:
+                        near = np.flatnonzero(other[j] & ((rough[j] <= reach[j]) | odd))
+                    exact = _distances(c[near], q[at + j])
                     best = np.lexsort((ids[near], exact))[:k]
                     out.append(pd.DataFrame({"query_id": own[at + j], "vec_id": ids[near[best]], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
@@ -210,55 +257,78 @@ def _rerank(k: int):
     return work
 
 
+#: Numbers of parts of one length; parts of different lengths never share one.
+PARTS = 1 << 20
+
+
+def learned(rows: DataFrame, params: AnnParams = AnnParams()) -> dict[int, Index]:
+    """rows: vec_id, vec.  An index for each length of vectors that the sample holds."""
+    n = rows.count()
+    most = min(params.max_sample, params.part_rows * max(2, round(n**0.5)))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(most).toPandas()
+    lengths = sample["vec"].map(len).to_numpy()
+    return {int(k): learn(np.stack(sample["vec"][lengths == k]), round(n * float((lengths == k).mean())), params) for k in np.unique(lengths)}
+
+
+def _route(index: dict[int, Index], probe: bool):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lengths = batch["vec"].map(len).to_numpy()
+            for k in np.unique(lengths):
+                some = batch[lengths == k]
+                for at in range(0, len(some), 4096):
+                    few = some.iloc[at : at + 4096]
+                    x, own = np.stack(few["vec"]), index.get(int(k), Index())
+                    row, part = own.probed(x) if probe else (np.arange(len(x)), own.home(x))
+                    yield few.iloc[row].assign(part=int(k) * PARTS + part)
+
+    return work
+
+
 def search(rows: DataFrame, queries: DataFrame, params: AnnParams = AnnParams()) -> DataFrame:
     """rows, queries: vec_id, embedding.  Returns query_id, rank (from 1), vec_id, score: each query's k nearest rows found
     but rows of its own vec_id, by Euclidean distance in double precision, ties to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components take no part, nor do those whose length is not the
-    sample's commonest.  A query with fewer than k rows in its parts is held against all rows, in blocks.  Rows that repeat count each.  Empty
-    tables give an empty result.  Other columns are ignored.
+    Vectors that are null, zero or hold null or non-finite components take no part; vectors of unlike length have no
+    distance.  A query with fewer than k rows in its parts is held against all rows of its length, in blocks.  Queries that
+    share a vec_id are one, that of the smallest vector; rows that repeat count each.  Empty tables give an empty result.
+    Other columns are ignored.
 
-    A part's rows are dealt into blocks by the hash of vec_id, so that a part of any size, one of many equal vectors, say,
-    is never in one task; a query visits every block of its parts.
+    A part's rows are dealt into blocks by the hash of vec_id and vector, so that a part of any size, one of many equal
+    vectors, say, is never in one task; a query visits every block of its parts.
     """
     spark = rows.sparkSession
     every = usable(rows)
-    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(params.max_sample).toPandas()
-    lengths = sample["vec"].map(len)
-    if len(sample):
-        sample = sample[lengths == lengths.mode()[0]]
-    index = learn(np.stack(sample["vec"]) if len(sample) else np.empty((0, 0)), params)
-
-    def route(probes: int):
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    parts = index.ranked(np.stack(batch["vec"]))[:, :probes]
-                    again = np.repeat(np.arange(len(batch)), parts.shape[1])
-                    yield batch.iloc[again].assign(part=parts.ravel().astype(np.int32))
-
-        return work
-
-    fits = F.size("vec") == index.dimension
-    indexed = every.where(fits).mapInPandas(route(1), "vec_id long, vec array<double>, part int")
-    asked = usable(queries).where(fits).mapInPandas(route(index.probes), "vec_id long, vec array<double>, part int")
+    wanted = usable(queries).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    index = learned(every, params)
+    indexed = every.mapInPandas(_route(index, False), "vec_id long, vec array<double>, part long")
+    asked = wanted.mapInPandas(_route(index, True), "vec_id long, vec array<double>, part long")
     sizes = indexed.groupBy("part").agg(F.ceil(F.count("*") / params.block).cast("int").alias("blocks"), F.count("*").alias("rows")).collect()
-    plan = F.broadcast(spark.createDataFrame([(r.part, r.blocks) for r in sizes], "part int, blocks int"))  # a row per part
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    left = asked.join(plan, "part").select(F.col("vec_id").alias("query_id"), "vec", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = indexed.join(plan, "part").select("vec_id", "vec", "part", block.alias("block"))
+    plan = F.broadcast(spark.createDataFrame([(r.part, r.blocks) for r in sizes], "part long, blocks int"))  # a row per part
+    deal = lambda blocks: F.pmod(F.xxhash64("vec_id", "vec"), blocks).cast("int").alias("block")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    left = asked.join(plan, "part").select(F.col("vec_id").alias("query_id"), "vec", "part", each(F.col("blocks")))
+    right = indexed.join(plan, "part").select("vec_id", "vec", "part", deal(F.col("blocks")))
     near = lambda left, right: left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_rerank(params.k), FOUND)
     found = materialize(near(left, right), "found")
-    # queries that repeat find their rows as often
-    wanted = usable(queries).where(fits).select(F.col("vec_id").alias("query_id"), "vec")
-    copies = wanted.groupBy("query_id").agg((F.count("*") * params.k).alias("wanted"))
     counts = found.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = materialize(copies.join(counts, "query_id", "left").where("coalesce(n, 0) < wanted").select("query_id"), "short")
+    ids = wanted.select(F.col("vec_id").alias("query_id"))
+    short = materialize(ids.join(counts, "query_id", "left").where(F.coalesce("n", F.lit(0)) < params.k).select("query_id"), "short")
     if not short.isEmpty():
-        blocks = max(1, -(-sum(r.rows for r in sizes) // params.block))
-        all_blocks = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-        left = wanted.join(short, "query_id", "left_semi").select("query_id", "vec", F.lit(0).alias("part"), all_blocks)
-        right = every.where(fits).select("vec_id", "vec", F.lit(0).alias("part"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+        blocks = F.lit(max(1, -(-sum(r.rows for r in sizes) // params.block)))
+        length = F.size("vec").cast("long").alias("part")
+        left = wanted.select(F.col("vec_id").alias("query_id"), "vec").join(short, "query_id", "left_semi").select("query_id", "vec", length, each(blocks))
+        right = every.select("vec_id", "vec", length, deal(blocks))
         found = found.join(short, "query_id", "left_anti").unionByName(near(left, right))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
+
+
+def visited(rows: DataFrame, queries: DataFrame, params: AnnParams = AnnParams()) -> float:
+    """The share of all rows that a query is held against, on average."""
+    every, asked = usable(rows), usable(queries)
+    index = learned(every, params)
+    sizes = every.mapInPandas(_route(index, False), "vec_id long, vec array<double>, part long").groupBy("part").agg(F.count("*").alias("n"))
+    probed = asked.mapInPandas(_route(index, True), "vec_id long, vec array<double>, part long").groupBy("part").agg(F.count("*").alias("q"))
+    held = sizes.join(probed, "part").agg(F.sum(F.col("n") * F.col("q"))).first()[0] or 0
+    return held / max(1, every.count() * asked.count())
