@@ -9,11 +9,15 @@ content:
     a document that share a minimizer position are consecutive; such a run, not each window, is the unit that is shuffled.
 2.  Runs that are equal as a whole (hash of the minimizer and prefix polynomial hash of the run's bytes) need no look at
     single windows: all but the earliest run go.  Map tasks settle that for their own runs before anything is shuffled,
-    so a passage that a third of all documents share leaves each map task once.
+    so a passage that a third of all documents share leaves each map task once; they hold the texts, and verify the bytes.
+    What is settled after the shuffle is verified by BLAKE2 digests of both sides' bytes, runs that follow one another
+    taken together; a run that fails goes on to step 3, as every run of another kind does.
 3.  Where one minimizer has runs that differ (the ends of repeated passages), the bytes of the earliest run of each kind
     are fetched, and their windows are sorted as suffixes: a merge sort whose comparisons find the common extension of
     two suffixes by binary search over prefix polynomial hashes.  Neighbours that agree over the whole length are
-    verified byte by byte.  Of each class of equal windows, all but the earliest go.
+    verified byte by byte.  Of each class of equal windows, all but the earliest go.  Where a minimizer has very many
+    runs, its windows are dealt out one by one, by what they begin and end with, and windows that a task has already are
+    settled there, so that no task gets them all.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK, RUNS = 1 << 18, 1 << 20
 #: doc_id of null, before all others.
 NO_ID = -(1 << 63)
+#: Distinct windows of those that a task remembers at a time.
+HELD_WINDOWS = 1 << 16
+#: Ranges of one source text that are verified together.
+REQUESTS = 4096
 
 
 @dataclass(frozen=True)
@@ -44,6 +52,10 @@ class SuffixParams:
     length: int = 100
     #: Bytes of the strings that minimizers are chosen from.
     gram: int = 32
+    #: Runs of one minimizer that are sorted together; the windows of more are dealt out one by one.
+    hot_runs: int = 2048
+    #: Bits of a run's hash; fewer make more runs fail verification, and never change the result.
+    bits: int = 64
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -131,7 +143,8 @@ def minimizer_runs(data: np.ndarray, begin: np.ndarray, end: np.ndarray, params:
     text = np.searchsorted(begin, first, side="right") - 1
     whole = (sums[last + length] - sums[first]) * back[first]
     shape = (p - first).astype(np.uint64) * np.uint64(256) + (last - p + length).astype(np.uint64)
-    return text, first, last, p, h[p], mixed(whole) ^ (mixed(shape + np.uint64(1)) >> np.uint64(7))
+    run = mixed(whole) ^ (mixed(shape + np.uint64(1)) >> np.uint64(7))
+    return text, first, last, p, h[p], run >> np.uint64(64 - params.bits)
 
 
 def _pack(tag: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -146,20 +159,40 @@ def _unpack(v: np.ndarray) -> tuple[np.ndarray, ...]:
 RUN = "span boolean, h long, d long, doc long, place long"
 
 
+def _same_bytes(data: bytes, at: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Is data[at : at + size] the same as data[of : of + size]?  Ranges that go on alike are compared as one."""
+    out = np.ones(len(at), bool)
+    order = np.lexsort((at, at - of))
+    at, size, of = at[order], size[order], of[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] - of[1:] != at[:-1] - of[:-1]) | (at[1:] > at[:-1] + size[:-1])
+    heads = np.flatnonzero(fresh)
+    view = memoryview(data)
+    for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(at)]):
+        first, last = int(at[lo]), int((at[lo:hi] + size[lo:hi]).max())
+        if view[first:last] != view[int(of[lo]) : int(of[lo]) + last - first]:
+            for k in range(lo, hi):
+                x, y, n = int(at[k]), int(of[k]), int(size[k])
+                out[order[k]] = view[x : x + n] == view[y : y + n]
+    return out
+
+
 def _runs(params: SuffixParams):
     """Rows of runs, and of spans that go already, those of runs that this task has seen earlier (d: start, place: tag and
     end, h: anything that spreads them)."""
 
-    def settle(runs: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
-        doc, tag, first, last, p, h, d = (np.concatenate(x) for x in zip(*runs))
+    def settle(runs: list[tuple[np.ndarray, ...]], data: bytes) -> Iterator[pd.DataFrame]:
+        doc, tag, first, last, p, h, d, at = (np.concatenate(x) for x in zip(*runs))
         place = _pack(tag, p, p - first, last - p + params.length)
         order = np.lexsort((place, doc, d, h))
-        doc, tag, first, last, h, d, place = (x[order] for x in (doc, tag, first, last, h, d, place))
+        doc, tag, first, last, h, d, place, at = (x[order] for x in (doc, tag, first, last, h, d, place, at))
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1])
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
+        rows = np.flatnonzero(again)
+        again[rows] = _same_bytes(data, at[rows], (last - first + params.length)[rows], at[head[rows]])
         keep = ~again
         yield pd.DataFrame({"span": False, "h": h[keep].view(np.int64), "d": d[keep].view(np.int64), "doc": doc[keep], "place": place[keep]})
-        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
         gone = again & ((doc != doc[head]) | (place != place[head]))
         spans = _merged(doc[gone], tag[gone], first[gone], last[gone] + params.length)
         route = mixed((spans[0] + spans[2]).view(np.uint64)).view(np.int64)
@@ -167,20 +200,22 @@ def _runs(params: SuffixParams):
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs: list[tuple[np.ndarray, ...]] = []
-        n = 0
+        texts: list[bytes] = []
+        n = size = 0
         for batch in batches:
             for doc, tag, offset, data, begin, end in _chunks(zip(batch["doc"], batch["text"]), params):
                 text, first, last, p, h, d = minimizer_runs(data, begin, end, params)
                 if len(text) == 0:
                     continue
                 shift = offset[text] - begin[text]
-                runs.append((doc[text], tag[text], first + shift, last + shift, p + shift, h, d))
-                n += len(text)
+                runs.append((doc[text], tag[text], first + shift, last + shift, p + shift, h, d, first + size))
+                texts.append(data.tobytes())
+                n, size = n + len(text), size + len(data)
                 if n >= RUNS:
-                    yield from settle(runs)
-                    runs, n = [], 0
+                    yield from settle(runs, b"".join(texts))
+                    runs, texts, n, size = [], [], 0, 0
         if runs:
-            yield from settle(runs)
+            yield from settle(runs, b"".join(texts))
 
     return work
 
@@ -239,12 +274,13 @@ def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[heads], tag[heads], start[heads], reach[last] - lift[last]
 
 
-FOUND = "span boolean, h long, doc long, tag long, a long, b long, c long"
+FOUND = "span boolean, h long, doc long, tag long, a long, b long, c long, sdoc long, stag long, sa long"
 
 
 def _settle(params: SuffixParams):
-    """Rows come by h, d, doc, place.  Gives spans (a, b: start, end) and, of minimizers with runs of several kinds, the
-    earliest of each (a: position, b, c: bytes before it and from it on).  Holds one batch and two rows."""
+    """Rows come by h, d, doc, place.  Gives spans (a, b: start, end; sdoc, stag, sa: where the same bytes start earlier, stag
+    -1 if they are verified; c: bytes before both positions, and from the earlier one on) and, of minimizers with runs of several kinds, the earliest of each (a: position, b, c: bytes
+    before it and from it on).  Holds one batch and two rows."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         prev = None  # (h, d, doc, place) of the last kind's earliest run
@@ -269,7 +305,10 @@ def _settle(params: SuffixParams):
             gone = same & ((doc != doc[head]) | (place != place[head]))
             if gone.any():
                 tag, p, before, after = _unpack(place[gone])
-                yield _found(True, 0, doc[gone], tag, p - before, p + after, 0)
+                of = head[gone]
+                stag, sp, sbefore, safter = _unpack(place[of])
+                shape = before | (sbefore << 8) | (safter << 16)
+                yield _found(True, h[gone], doc[gone], tag, p - before, p + after, shape, doc[of], stag, sp - sbefore)
             kinds = np.flatnonzero(~same)
             shares = same_h[kinds]  # its minimizer with the kind before
             several = shares.copy()
@@ -287,8 +326,8 @@ def _settle(params: SuffixParams):
     return work
 
 
-def _found(span, h, doc, tag, a, b, c) -> pd.DataFrame:
-    parts = {"span": span, "h": h, "doc": doc, "tag": tag, "a": a, "b": b, "c": c}
+def _found(span, h, doc, tag, a, b, c, sdoc=0, stag=-1, sa=0) -> pd.DataFrame:
+    parts = {"span": span, "h": h, "doc": doc, "tag": tag, "a": a, "b": b, "c": c, "sdoc": sdoc, "stag": stag, "sa": sa}
     n = len(doc)
     return pd.DataFrame({k: np.full(n, v) if np.isscalar(v) else np.asarray(v) for k, v in parts.items()})
 
@@ -408,7 +447,6 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, le
     return out
 
 
-SPAN = "doc long, tag long, a long, b long"
 #: Bytes of contexts that are sorted together.
 SORT_BYTES = 1 << 21
 
@@ -455,6 +493,10 @@ def _ends(params: SuffixParams):
 
 # ---- tables ----------------------------------------------------------------------------------------------------------
 
+#: Of a text: contexts of runs (kind 0), ranges to be verified (kind 1: the text has at p as many bytes, before, as the
+#: source has at h, with the digest in context), and spans that go (kind 2: before bytes at p).
+PARTS = "kind int, h long, doc long, tag long, p long, before long, context binary, sdoc long, stag long"
+
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     squeeze = zstandard.ZstdCompressor(level=1)
@@ -465,42 +507,128 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": part["doc"].to_numpy(), "tag": [tag_of(t) for t in raw], "packed": [squeeze.compress(t) for t in raw]})
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    expand = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = []
-        for doc, tag, packed, ends in zip(batch["doc"], batch["tag"], batch["packed"], batch["ends"]):
-            raw = expand.decompress(packed)
-            out += [(h, doc, tag, p, before, raw[p - before : p + after]) for h, p, before, after in np.reshape(ends, (-1, 4)).tolist()]
-        yield pd.DataFrame(out, columns=["h", "doc", "tag", "p", "before", "context"])
+def _digest(part: bytes) -> bytes:
+    return hashlib.blake2b(part, digest_size=16).digest()
+
+
+def _joined(copied: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """copied: rows of a, b, sdoc, stag, sa.  The ranges that go on alike in one source, as one: a, b, sdoc, stag, sa."""
+    order = np.lexsort((copied[:, 0], copied[:, 0] - copied[:, 4], copied[:, 3], copied[:, 2]))
+    a, b, sdoc, stag, sa = copied[order].T
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (sdoc[1:] != sdoc[:-1]) | (stag[1:] != stag[:-1]) | (a[1:] - sa[1:] != a[:-1] - sa[:-1]) | (a[1:] > b[:-1])
+    heads = np.flatnonzero(fresh)
+    ends = np.maximum.reduceat(b, heads)
+    yield from zip(*(x.tolist() for x in (a[heads], ends, sdoc[heads], stag[heads], sa[heads])))
+
+
+def _parts(params: SuffixParams):
+    """Rows of doc, tag, packed, ends, copied to PARTS."""
+    length = params.length
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        expand = zstandard.ZstdDecompressor()
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        windows: dict[tuple[int, bytes], tuple] = {}
+        for batch in batches:
+            out = []
+            for doc, tag, packed, ends, copied in zip(*(batch[c] for c in ("doc", "tag", "packed", "ends", "copied"))):
+                raw = expand.decompress(packed)
+                for h, p, before, after, hot in np.reshape(ends, (-1, 5)).tolist():
+                    context = raw[p - before : p + after]
+                    if not hot:
+                        out.append((0, h, doc, tag, p, before, context, 0, 0))
+                        continue
+                    for k in range(len(context) - length + 1):
+                        window = context[k : k + length]
+                        at = p - before + k
+                        # windows are dealt by the minimizer, its place in them, and what they begin and end with
+                        digest = hashlib.blake2b(b"%d %d " % (h, before - k) + window[:8] + window[-8:], digest_size=8).digest()
+                        key = int.from_bytes(digest, "little", signed=True)
+                        first = windows.setdefault((key, window), (doc, tag, at))
+                        if first == (doc, tag, at):
+                            pass
+                        elif first < (doc, tag, at):
+                            out.append((2, 0, doc, tag, at, length, None, 0, 0))
+                            continue
+                        else:
+                            # the earlier of the two is what others are held against
+                            windows[key, window] = (doc, tag, at)
+                        out.append((0, key, doc, tag, at + before - k, before - k, window, 0, 0))
+                    if len(windows) > HELD_WINDOWS:
+                        windows.clear()
+                if len(copied):
+                    for a, b, sdoc, stag, sa in _joined(np.reshape(copied, (-1, 5)).astype(np.int64)):
+                        out.append((1, sa, doc, tag, a, b - a, _digest(raw[a:b]), sdoc, stag))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    return work
+
 
+SPANS = "doc long, tag long, a long, b long"
 
-def repeated_spans(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
-    """docs: doc (long, not null), text.  Returns doc, tag, a, b: spans [a, b) that go; they may overlap."""
+
+def _spans(docs: DataFrame, params: SuffixParams, bad: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: doc (long, not null), text.  Returns doc, tag, a, b: spans [a, b) that go, which may overlap; requests: what has
+    to be verified for that; and where runs were settled (FOUND).
+
+    bad: doc, tag, a of runs that are known not to be what their hash says; they are sorted like those of other kinds."""
     n = partitions(docs.sparkSession)
     runs = docs.mapInPandas(_runs(params), RUN)
     runs = runs.repartition(n, "h").sortWithinPartitions("h", "d", "doc", "place")
     found = materialize(runs.mapInPandas(_settle(params), FOUND), "runs")
-    ends = found.where("NOT span").groupBy("doc", "tag").agg(F.flatten(F.collect_list(F.array("h", "a", "b", "c"))).alias("ends"))
+    if bad is not None:
+        # the run, and the one that it was taken for, as kinds of their own
+        at = ["doc", "tag", "a"]
+        wrong = found.where("span AND stag >= 0").join(bad, at, "left_semi")
+        before, sbefore, safter = (F.shiftright("c", k).bitwiseAND(F.lit(255)) for k in (0, 8, 16))
+        here = wrong.select(F.lit(False).alias("span"), "h", "doc", "tag", (F.col("a") + before).alias("a"), before.alias("b"), (F.col("b") - F.col("a") - before).alias("c"))
+        there = wrong.select(F.lit(False).alias("span"), "h", F.col("sdoc").alias("doc"), F.col("stag").alias("tag"), (F.col("sa") + sbefore).alias("a"), sbefore.alias("b"), safter.alias("c"))
+        kinds = here.unionByName(there).distinct().select("*", F.lit(0).cast("long").alias("sdoc"), F.lit(-1).cast("long").alias("stag"), F.lit(0).cast("long").alias("sa"))
+        marked = found.join(bad.select(*at, F.lit(True).alias("bad")).distinct(), at, "left")
+        found = marked.where("NOT (span AND stag >= 0 AND coalesce(bad, false))").select(*found.columns).unionByName(kinds)
+    kinds = found.where("NOT span")
+    hot = kinds.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > params.hot_runs).select("h", F.lit(1).cast("long").alias("hot"))
+    ends = kinds.join(hot, "h", "left").select("doc", "tag", F.array("h", "a", "b", "c", F.coalesce("hot", F.lit(0))).alias("end"), F.lit(None).cast("array<long>").alias("copy"))
+    copied = found.where("span AND stag >= 0").select("doc", "tag", F.lit(None).cast("array<long>").alias("end"), F.array("a", "b", "sdoc", "stag", "sa").alias("copy"))
+    wanted = ends.unionByName(copied).groupBy("doc", "tag").agg(F.flatten(F.collect_list("end")).alias("ends"), F.flatten(F.collect_list("copy")).alias("copied"))
     packed = docs.mapInPandas(_packed, "doc long, tag long, packed binary")
-    contexts = packed.join(ends, ["doc", "tag"]).select("doc", "tag", "packed", "ends")
-    contexts = contexts.mapInPandas(_contexts, "h long, doc long, tag long, p long, before long, context binary")
+    parts = packed.join(wanted, ["doc", "tag"]).select("doc", "tag", "packed", "ends", "copied")
+    parts = materialize(parts.mapInPandas(_parts(params), PARTS), "parts")
+    contexts = parts.where("kind = 0").select("h", "doc", "tag", "p", "before", "context")
     contexts = contexts.repartition(n, "h").sortWithinPartitions("h", "doc", "tag", "p")
-    return found.where("span").select("doc", "tag", "a", "b").unionByName(contexts.mapInPandas(_ends(params), SPAN))
+    spans = found.where("span").select("doc", "tag", "a", "b").unionByName(contexts.mapInPandas(_ends(params), SPANS))
+    spans = spans.unionByName(parts.where("kind = 2").select("doc", "tag", F.col("p").alias("a"), (F.col("p") + F.col("before")).alias("b")))
+    requests = parts.where("kind = 1").select(F.col("sdoc").alias("doc"), F.col("stag").alias("tag"), F.col("h").alias("at"), F.col("before").alias("size"), F.col("context").alias("digest"), F.col("doc").alias("of_doc"), F.col("tag").alias("of_tag"), F.col("p").alias("of_a"))
+    return spans, requests, found
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, text_sha256 string, kept_sha256 string, kept string"
+#: A row per document (bad false), or per range of a source that failed (bad true; n_bytes, n_removed: where it starts, its
+#: size; text_sha256: the digest that was asked for).
+KEPT = (
+    "bad boolean, doc long, tag long, n_bytes long, n_removed long, n_spans long, text_sha256 string, kept_sha256 string, kept string"
+)
 
 
 def _apply(with_text: bool):
+    """Rows of doc, tag, packed, spans (null: none go), requests (null: none), result (is a row due?) to KEPT."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = zstandard.ZstdDecompressor()
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "text_sha256", "kept_sha256", "kept"]
+        names = [c.split()[0] for c in KEPT.split(", ")]
         for batch in batches:
             out = []
             size = 0
-            for doc, packed, spans in zip(batch["doc"], batch["packed"], batch["spans"]):
+            for doc, tag, packed, spans, requests, due in zip(*(batch[c] for c in ("doc", "tag", "packed", "spans", "requests", "due"))):
                 raw = expand.decompress(packed)
+                for r in requests if requests is not None else ():
+                    if _digest(raw[r["at"] : r["at"] + r["size"]]) != r["digest"]:
+                        out.append((True, doc, tag, r["at"], r["size"], 0, bytes(r["digest"]).hex(), None, None))
+                if not due:
+                    continue
                 kept, removed, count, at = [], 0, 0, 0
                 reach = -1
                 for a, b in sorted(np.reshape(spans, (-1, 2)).tolist()) if spans is not None else ():
@@ -518,25 +646,64 @@ def _apply(with_text: bool):
                 size += len(left) if with_text else 0
                 digests = (hashlib.sha256(x).hexdigest() for x in (raw, left))
                 text = left.decode("utf-8", "ignore") if with_text else None
-                out.append((None if doc == NO_ID else doc, len(raw), removed, count, *digests, text))
+                out.append((False, doc, tag, len(raw), removed, count, *digests, text))
                 if size > 1 << 24:
-                    yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(out, columns=names)
                     out, size = [], 0
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=names)
 
     return work
 
 
+def _applied(docs: DataFrame, spans: DataFrame, requests: DataFrame, with_text: bool) -> DataFrame:
+    """docs: doc, text.  KEPT: a row per row of docs, and one per request that fails."""
+    spans = spans.groupBy("doc", "tag").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
+    # copies ask for the same; a text that very many others share parts with gets several lists
+    asked = requests.select("doc", "tag", "at", "size", "digest").distinct()
+    lists = asked.join(asked.groupBy("doc", "tag").agg(F.floor((F.count("*") - 1) / REQUESTS).alias("more")), ["doc", "tag"])
+    one = F.struct("at", "size", "digest")
+    lists = lists.groupBy("doc", "tag", F.pmod(F.xxhash64("at", "size", "digest"), F.col("more") + 1).alias("k")).agg(F.collect_list(one).alias("requests"))
+    lists = materialize(lists, "requests")
+    packed = docs.mapInPandas(_packed, "doc long, tag long, packed binary")
+    columns = ["doc", "tag", "packed", "spans", "requests", "due"]
+    joined = packed.join(spans, ["doc", "tag"], "left").join(lists.where("k = 0").drop("k"), ["doc", "tag"], "left").withColumn("due", F.lit(True)).select(columns)
+    rest = lists.where("k > 0").drop("k")
+    if not rest.isEmpty():
+        more = packed.join(rest, ["doc", "tag"]).withColumns({"spans": F.lit(None).cast("array<long>"), "due": F.lit(False)})
+        joined = joined.unionByName(more.select(columns))
+    return joined.mapInPandas(_apply(with_text), KEPT)
+
+
+def _one_text_per_id(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs: doc_id, text, to doc, text, where no two texts share a doc; and doc, doc_id where these differ.
+
+    If a doc_id has several texts (rows without one usually do), the pairs of doc_id and text digest are numbered in order:
+    a range partitioning, sorted, whose partition and row make the number."""
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+    pairs = keyed.select("doc", "digest").distinct()
+    if pairs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return keyed.select("doc", "text"), None
+    ordered = pairs.repartitionByRange(partitions(docs.sparkSession), "doc", "digest").sortWithinPartitions("doc", "digest")
+    numbered = materialize(ordered.select(F.col("doc").alias("old"), F.col("digest").alias("of"), F.monotonically_increasing_id().alias("doc")), "numbers")
+    renamed = keyed.join(numbered.withColumnRenamed("doc", "number"), (F.col("doc") == F.col("old")) & (F.col("digest") == F.col("of")))
+    return renamed.select(F.col("number").alias("doc"), "text"), numbered.select("doc", "old")
+
+
 def deduplicated(docs: DataFrame, params: SuffixParams = SuffixParams()) -> DataFrame:
-    """The rows of docs with what is left of their texts, and n_chars, if there is one, counted anew."""
-    kept = suffix_dedup(docs, params, with_text=True).select(
-        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_of"), "kept"
+    """The rows of docs with what is left of their texts (a null text is empty then), and n_chars, if there is one, counted
+    anew; other columns as they are, whatever they are called."""
+    kept = suffix_dedup(docs, params, with_text=True).select("doc_id", "text_sha256", "kept")
+    if not kept.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text_sha256"])
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_of"), "kept")
+    carried = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
+        F.col("doc_id").cast("long").alias("row_id"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("row_of"),
     )
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    rest = docs.withColumn("text_digest", digest).drop("text")
-    joined = rest.join(kept.dropDuplicates(["kept_id", "kept_of"]), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_digest") == F.col("kept_of")))
+    joined = carried.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_of") == F.col("kept_of")))
     columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[columns[c].alias(c) if c in columns else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), with_text: bool = False) -> DataFrame:
@@ -547,8 +714,24 @@ def suffix_dedup(docs: DataFrame, params: SuffixParams = SuffixParams(), with_te
     and get equal results; rows with equal doc_id and other texts are ordered by a digest of the text.  Empty tables give
     an empty result.  Other columns are ignored.
     """
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    spans = repeated_spans(keyed, params).groupBy("doc", "tag").agg(F.flatten(F.collect_list(F.array("a", "b"))).alias("spans"))
-    packed = keyed.mapInPandas(_packed, "doc long, tag long, packed binary")
-    joined = packed.join(spans, ["doc", "tag"], "left").select("doc", "packed", "spans")
-    return joined.mapInPandas(_apply(with_text), KEPT)
+    keyed, numbers = _one_text_per_id(docs)
+    spans, requests, _ = _spans(keyed, params, None)
+    out = materialize(_applied(keyed, spans, requests, with_text), "kept")
+    failed = out.where("bad").select("doc", "tag", F.col("n_bytes").alias("at"), F.col("n_removed").alias("size"), F.unhex("text_sha256").alias("digest"))
+    if not failed.isEmpty():
+        out = _resolved(keyed, params, requests.join(failed, ["doc", "tag", "at", "size", "digest"], "left_semi"), with_text)
+    out = out.where("NOT bad")
+    out = out.join(numbers, "doc").withColumn("doc", F.col("old")) if numbers is not None else out
+    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
+    return out.select(doc_id, "n_bytes", "n_removed", "n_spans", "text_sha256", "kept_sha256", "kept")
+
+
+def _resolved(docs: DataFrame, params: SuffixParams, failed: DataFrame, with_text: bool) -> DataFrame:
+    """The result where hashes have met by chance: every run within a range that failed is sorted."""
+    failed = failed.select(F.col("of_doc").alias("doc"), F.col("of_tag").alias("tag"), F.col("of_a").alias("from"), (F.col("of_a") + F.col("size")).alias("to"))
+    runs = materialize(_spans(docs, params, None)[2].where("span AND stag >= 0").select("doc", "tag", "a", "b"), "runs")
+    inside = (F.col("a") >= F.col("from")) & (F.col("b") <= F.col("to"))
+    bad = materialize(runs.join(failed, ["doc", "tag"]).where(inside).select("doc", "tag", "a").distinct(), "bad")
+    spans, _, _ = _spans(docs, params, bad)
+    none = docs.sparkSession.createDataFrame([], "doc long, tag long, at long, size long, digest binary, of_doc long, of_tag long, of_a long")
+    return _applied(docs, spans, none, with_text)

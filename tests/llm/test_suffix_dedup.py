@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 
 from kgraph.llm import suffix_dedup as sd
-from kgraph.llm.suffix_dedup import SuffixParams, Suffixes, minimizer_runs, suffix_dedup
+from kgraph.llm.suffix_dedup import SuffixParams, Suffixes, deduplicated, minimizer_runs, suffix_dedup
 
 SCHEMA = "doc_id long, text string, doc string, tag string, kept int"
 
@@ -64,16 +65,45 @@ def test_against_brute_force(spark):
     assert sum(v[1] > 0 for v in want.values()) > 30
 
 
-def test_short_alphabet_slices_and_hot_minimizers(spark, monkeypatch):
-    monkeypatch.setattr(sd, "CHUNK", 700)
-    monkeypatch.setattr(sd, "RUNS", 60)
-    monkeypatch.setattr(sd, "SORT_BYTES", 1000)
+LINE = "one line that very many of the documents share, and that is long enough to be found as a repeat by itself. "
+
+
+def test_short_alphabet_and_hot_minimizers(spark):
     rng = random.Random(6)
     rows = make(rng, 60, "ab")
-    line = "one line that very many of the documents share, and that is long enough to be found as a repeat by itself. "
-    rows += [(20_000 + i, f"{rng.random()} {line * rng.randint(1, 2)}{rng.random()}") for i in range(60)]
+    rows += [(20_000 + i, f"{rng.random()} {LINE * rng.randint(1, 2)}{rng.random()}") for i in range(60)]
     check(spark, rows, SuffixParams())
-    check(spark, rows, SuffixParams(length=60, gram=16))
+    check(spark, rows, SuffixParams(hot_runs=3))
+    check(spark, rows, SuffixParams(length=60, gram=16, hot_runs=20))
+
+
+def test_runs_whose_hashes_meet_by_chance(spark):
+    rng = random.Random(12)
+    rows = make(rng, 40, "abcdefgh ")
+    rows += [(20_000 + i, f"{rng.random()} {LINE}{rng.random()}") for i in range(20)]
+    # equal lines under other minimizers' hashes: one bit tells runs of a minimizer apart
+    check(spark, rows, SuffixParams(bits=1))
+
+
+def test_texts_in_slices_and_small_batches(monkeypatch):
+    monkeypatch.setattr(sd, "CHUNK", 700)
+    monkeypatch.setattr(sd, "RUNS", 60)
+    rng = random.Random(13)
+    rows = [(d, t) for d, t in make(rng, 30, "abc") if d is not None]
+    frame = pd.DataFrame({"doc": [d for d, _ in rows], "text": [t for _, t in rows]})
+    params = SuffixParams()
+    out = pd.concat(list(sd._runs(params)(iter([frame]))))
+    spans = out[out["span"]]
+    want = brute(rows, 100)
+    raw = {d: (t or "").encode() for d, t in rows}
+    seen = set()
+    for d in sorted(raw):
+        for i in range(len(raw[d]) - 99):
+            seen.add(raw[d][i : i + 100])
+    for doc, start, place in zip(spans["doc"], spans["d"], spans["place"]):
+        end = int(place) & ((1 << 48) - 1)
+        assert want[doc][1] >= end - start >= 100 and raw[doc][start : start + 100] in seen
+    assert len(spans)
 
 
 def test_runs_cover_all_windows_once():
@@ -112,3 +142,24 @@ def test_rows_that_repeat(spark):
     assert len(got) == 6 and len(one) == 1 and got[0] == (0, 0, 0) and got[-1] == (2, 300, 300)
     assert sorted([next(iter(one))[2], next(x for x in got if x[1] == 306)[2]]) in ([0, 300], [0, 300])
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_without_ids_are_documents_of_their_own(spark):
+    rng = random.Random(14)
+    shared = "".join(rng.choices("abcdefgh", k=200))
+    rows = [(None, f"{k} {shared}{rng.random()}", "", "", 0) for k in range(50)] + [(1, shared, "", "", 0)]
+    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    gone = sorted(r.n_removed for r in got if r.doc_id is None)
+    # the first of them keeps the passage, whichever it is
+    assert len(got) == 51 and gone[0] == 0 and gone[1] >= 200 and [r.n_removed for r in got if r.doc_id == 1] == [200]
+
+
+def test_clashing_names_and_nulls(spark):
+    text = "".join(random.Random(15).choices("abcdefgh", k=150))
+    schema = "doc_id long, text string, kept string, row_of string, text_digest int, n_chars int"
+    rows = [(1, text, "k", "r", 5, 150), (2, text + "x", "l", None, None, 151), (3, None, None, None, None, None), (3, None, None, None, None, None)]
+    got = sorted(deduplicated(spark.createDataFrame(rows, schema)).collect(), key=str)
+    assert sorted((r.doc_id, r.text, r.kept, r.row_of, r.text_digest, r.n_chars) for r in got[:2]) == [(1, text, "k", "r", 5, 150), (2, "x", "l", None, None, 1)]
+    assert [(r.doc_id, r.text, r.n_chars) for r in got[2:]] == [(3, "", 0)] * 2
+    empty = spark.createDataFrame([], schema)
+    assert deduplicated(empty).collect() == [] and deduplicated(empty).columns == empty.columns
