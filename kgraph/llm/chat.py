@@ -179,14 +179,22 @@ def format_record(record: dict) -> tuple[str, list[tuple[int, int]]]:
 FORMATTED = "conv_id long, k long, formatted string, loss_from long, loss_to long"
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
-    """rows: conv_id, turn, role, text, a row per turn.  Returns conv_id, k, formatted, loss_from, loss_to; a row per row.
+def turn_records(rows: DataFrame) -> DataFrame:
+    """rows: conv_id, turn, role, text, a row per turn.  Returns them as records (see format_records) of one turn each."""
+    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record")
+    by = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), by.alias("by"), record)
+
 
-    Turns are in order of turn (null last), ties by role, then text (null as empty), and repeated rows all count; k numbers
-    a conversation's turns from 0.  A conversation's output is its rows' formatted, one after the other, and the loss
-    spans are given within each.  Null conv_ids are one conversation.  Empty tables give an empty result.  Other columns
-    are ignored.  Rows are sorted within partitions by conversation and stream through, so that no conversation, however
-    long, is held in memory.
+def format_records(records: DataFrame) -> DataFrame:
+    """records: conv_id, turn, by (a struct of two strings, which orders records of one turn), record (JSON in any layout of
+    MAPPINGS; an unknown one is an error).  Returns conv_id, k, formatted, loss_from, loss_to; a row per turn.
+
+    Records are in order of turn (null last), then by, and repeated rows all count; k numbers a conversation's turns from 0.
+    Null roles and texts are empty; a record without turns, as of an empty list, gives no row.  A conversation's output is its
+    rows' formatted, one after the other, and the loss spans are given within each.  Null conv_ids are one conversation.
+    Empty tables give an empty result.  Records are sorted within partitions by conversation and stream through, so that no
+    conversation, however long, is held in memory.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,46 +205,54 @@ def format_rows(rows: DataFrame) -> DataFrame:
                 conv_id = None if pd.isna(conv_id) else int(conv_id)
                 if conv_id != last:
                     last, k = conv_id, 0
-                ((role, text),) = canonical_turns(json.loads(record))
-                piece, spans = format_turn(role, text)
-                out.append((conv_id, k, piece, *(spans[0] if spans else (None, None))))
-                k += 1
+                for role, text in canonical_turns(json.loads(record)):
+                    piece, spans = format_turn(role, text)
+                    out.append((conv_id, k, piece, *(spans[0] if spans else (None, None))))
+                    k += 1
             frame = pd.DataFrame(out, columns=["conv_id", "k", "formatted", "loss_from", "loss_to"])
             yield frame.astype({"conv_id": "Int64", "loss_from": "Int64", "loss_to": "Int64"})
 
-    record = F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record")
-    role, text = (F.coalesce(c, F.lit("")).alias(f"by_{c}") for c in ("role", "text"))
     ordered = (
-        rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role, text, record)
-        .repartition(partitions(rows.sparkSession), "conv_id")
-        .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "by_role", "by_text")
+        records.select("conv_id", "turn", "by", "record")
+        .repartition(partitions(records.sparkSession), "conv_id")
+        .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "by")
         .select("conv_id", "record")
     )
     return ordered.mapInPandas(work, FORMATTED)
 
 
+def format_rows(rows: DataFrame) -> DataFrame:
+    """rows: conv_id, turn, role, text, a row per turn; other columns are ignored.  As format_records, ties by role and text."""
+    return format_records(turn_records(rows))
+
+
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digest(formatted: DataFrame) -> DataFrame:
+def digest(formatted: DataFrame, ordered: bool = False) -> DataFrame:
     """What the output of format_rows says when it is read back: one row per conversation.
 
-    formatted must come as format_rows gives it, by conversation and in order; digests are carried from row to row.
+    formatted: conv_id, k, formatted, loss_from, loss_to, in any order; a conversation's rows are dealt to one task and sorted
+    there, and digests are carried from row to row, since SHA-256 has no other way.  ordered: it comes straight from
+    format_records, which has dealt and sorted it.  Null conv_ids are one conversation, rows of one k come as they are.  Empty
+    tables give an empty result.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: list | None = None
+        last = object()
 
         def row() -> tuple:
             return (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
 
         for batch in batches:
             out = []
-            for conv_id, k, piece, lo, hi in zip(*(batch[c] for c in ("conv_id", "k", "formatted", "loss_from", "loss_to"))):
-                if k == 0:
+            for conv_id, piece, lo, hi in zip(*(batch[c] for c in ("conv_id", "formatted", "loss_from", "loss_to"))):
+                conv_id = None if pd.isna(conv_id) else int(conv_id)
+                if conv_id != last:
                     if state:
                         out.append(row())
-                    state = [None if pd.isna(conv_id) else int(conv_id), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    last, state = conv_id, [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in read_turns(piece):
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
@@ -249,6 +265,8 @@ def digest(formatted: DataFrame) -> DataFrame:
         if state:
             yield _digests([row()])
 
+    if not ordered:
+        formatted = formatted.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "k")
     return formatted.mapInPandas(work, DIGEST)
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import json
 from collections import defaultdict
 
 import pytest
@@ -62,5 +63,34 @@ def test_against_brute_force(spark):
         assert r.formatted_chars == sum(len(chat.format_turn(a, b)[0]) for a, b in turns)
 
 
+def test_records_of_several_layouts(spark):
+    said = [("user", "a </s> question"), ("assistant", "an [INST] answer")]
+    records = [
+        {"messages": [{"role": r, "content": t} for r, t in said]},
+        {"conversations": [{"from": {"user": "human", "assistant": "gpt"}[r], "value": t} for r, t in said]},
+        {"prompt": said[0][1], "completion": said[1][1]},
+        {"instruction": "a </s> question", "input": "", "output": "an [INST] answer"},
+        {"question": said[0][1], "answer": said[1][1]},
+    ]
+    schema = "conv_id long, turn long, by struct<role:string,text:string>, record string"
+    rows = [(k, 0, ("", ""), json.dumps(r)) for k, r in enumerate(records)]
+    # one conversation of records in two layouts, one without turns
+    rows += [(9, 0, ("", ""), json.dumps({"role": "user", "text": said[0][1]})), (9, 1, ("", ""), json.dumps({"messages": [{"role": said[1][0], "content": said[1][1]}]}))]
+    rows += [(10, 0, ("", ""), json.dumps({"messages": []}))]
+    got = chat.digest(chat.format_records(spark.createDataFrame(rows, schema))).collect()
+    assert sorted(r.conv_id for r in got) == [0, 1, 2, 3, 4, 9] and len({tuple(r)[1:] for r in got}) == 1
+    want = "".join(f"{r}\n{t}\n" for r, t in said)
+    assert got[0].n_turns == 2 and got[0].turns_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_written_output_and_very_long_texts(spark, tmp_path):
+    rows = [(1, t, "assistant" if t % 2 else "user", "x<|end|>\\" * (400_000 if t == 1 else t), "", 0) for t in range(40)]
+    made = chat.format_rows(spark.createDataFrame(rows, SCHEMA))
+    want = chat.digest(made).collect()
+    made.repartition(7).write.parquet(f"{tmp_path}/formatted")
+    assert chat.digest(spark.read.parquet(f"{tmp_path}/formatted")).collect() == want
+    assert want[0].loss_chars == sum(len(r[3]) for r in rows if r[2] == "assistant")
+
+
 def test_empty(spark):
     assert chat.digest(chat.format_rows(spark.createDataFrame([], SCHEMA))).collect() == []
