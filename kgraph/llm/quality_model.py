@@ -27,8 +27,10 @@ SLICE = 1 << 20
 class MilParams:
     #: The model is fitted on at most so many labelled documents, those with the smallest hash of doc_id,
     max_labelled: int = 6000
-    #: and only on documents of at most so many bytes, which bounds what the driver gets.
+    #: of at most so many bytes each,
     max_bytes: int = 1 << 17
+    #: and so many passages together, which bounds what the driver gets: 262 bytes a passage, four times that as floats.
+    max_passages: int = 150_000
     hidden: int = 32
     gate: int = 16
     epochs: int = 24
@@ -243,36 +245,49 @@ def _bytes(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def train(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams()) -> AttentionMil | Constant:
-    """docs: doc_id, text.  labels: doc_id, quality (null: no label; of several, the smallest counts).
-
-    Only labels of documents that are not held out are read.  At most ``max_labelled`` documents' passages come to the
-    driver, as eight-bit rows.
-    """
-    chosen = (
+def chosen_rows(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams()) -> list[tuple[int, int, int]]:
+    """(doc_id, digest of its text, label) of the rows that the model is fitted on: in order of the hash of doc_id, as many as
+    the bounds allow.  Of several labels or texts of a doc_id the smallest counts; null and held-out ones never do."""
+    named = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy(F.col("doc_id").alias("label_id"))
         .agg(F.min("quality").alias("y"))
-        .orderBy(F.xxhash64("label_id"), "label_id")
-        .limit(params.max_labelled)
     )
-    sample = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= params.max_bytes)
-    sample = sample.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "y", "text")
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), F.octet_length(text).alias("bytes"))
+    one = sized.where(F.col("bytes") <= params.max_bytes).groupBy("doc_id").agg(F.min(F.struct("digest", "bytes")).alias("d"))
+    found = one.join(named, F.col("doc_id") == F.col("label_id")).orderBy(F.xxhash64("label_id"), "label_id").limit(params.max_labelled)
+    rows = found.select("doc_id", "d.digest", "d.bytes", "y").collect()
+    size = np.cumsum([max(1, -(-r["bytes"] // PASSAGE)) for r in rows])
+    return [(r["doc_id"], r["digest"], int(r["y"] > 0)) for r, n in zip(rows, size) if n <= params.max_passages]
+
+
+def train(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams()) -> AttentionMil | Constant:
+    """docs: doc_id, text.  labels: doc_id, quality.  Passages of chosen_rows come to the driver, as eight-bit rows."""
+    rows = chosen_rows(docs, labels, params)
+    chosen = docs.sparkSession.createDataFrame(rows, "label_id long, label_digest long, y int")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    same = (F.col("doc_id") == F.col("label_id")) & (F.xxhash64("text") == F.col("label_digest"))
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).join(F.broadcast(chosen), same).select("doc_id", "y", "text")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = set()
         for batch in batches:
+            batch = batch[~batch["doc_id"].isin(seen)].drop_duplicates("doc_id")
+            seen |= set(batch["doc_id"].tolist())
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
                 rows, counts = bags(_bytes(part["text"]))
                 cells = np.split(np.clip(np.rint(rows * 255), 0, 255).astype(np.uint8), np.cumsum(counts)[:-1])
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(), "cells": [c.tobytes() for c in cells]})
 
-    got = sample.mapInPandas(encode, "doc_id long, y int, cells binary").toPandas()
-    got = got.sort_values(["doc_id", "y", "cells"], ignore_index=True)
+    # rows that repeat leave each task once, and reach the driver once
+    got = sample.mapInPandas(encode, "doc_id long, y int, cells binary").groupBy("doc_id", "y").agg(F.min("cells").alias("cells")).toPandas()
+    got = got.sort_values(["doc_id"], ignore_index=True)
     cells = [np.frombuffer(c, np.uint8).reshape(-1, WIDTH) for c in got["cells"]]
     rows = np.concatenate(cells).astype(np.float32) / 255 if cells else np.empty((0, WIDTH), np.float32)
     counts = np.array([len(c) for c in cells], dtype=np.int64)
-    return fit(rows, counts, (got["y"].to_numpy() > 0).astype(np.float64), params)
+    return fit(rows, counts, got["y"].to_numpy().astype(np.float64), params)
 
 
 def score(docs: DataFrame, model: AttentionMil | Constant, params: MilParams = MilParams()) -> DataFrame:
@@ -296,4 +311,9 @@ def score(docs: DataFrame, model: AttentionMil | Constant, params: MilParams = M
 
 
 def classify(docs: DataFrame, labels: DataFrame, params: MilParams = MilParams()) -> DataFrame:
+    """docs: doc_id, text.  labels: doc_id, quality.  Returns doc_id, held_out, score, predicted; a row per row of docs.
+
+    The model is fitted on chosen_rows and scores every row, whole texts, null ones as empty.  Without labels of both classes
+    every score is the share of ones, smoothed.  Rows that repeat keep their rows.  Other columns are ignored.  An empty
+    table gives an empty result."""
     return score(docs, train(docs, labels, params), params)
