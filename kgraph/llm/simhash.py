@@ -194,9 +194,3 @@ def simhash_groups(docs: DataFrame, params: SimHashParams = SimHashParams()) ->
     return fps.join(of, F.col("fp") == F.col("of_fp")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
-    """The rows of docs whose doc_id is their group's smallest, with the columns of docs."""
-    kept = simhash_groups(docs, params).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")

@@ -5,7 +5,7 @@ from collections import Counter
 import xxhash
 
 from kgraph.llm.components import connected_components
-from kgraph.llm.simhash import SimHashParams, fingerprint, keep_first, simhash_groups
+from kgraph.llm.simhash import SimHashParams, fingerprint, simhash_groups
 
 SCHEMA = "doc_id long, text string, fp string, component string, anchor int"
 
@@ -88,8 +88,6 @@ def test_nulls_ties_and_empty(spark):
     got = sorted((r.doc_id is None, r.component_id) for r in simhash_groups(spark.createDataFrame(rows, SCHEMA)).collect() if r.component_id)
     assert got == [(False, 5), (False, 5), (True, 5)]
     assert simhash_groups(spark.createDataFrame([], SCHEMA)).collect() == []
-    docs = spark.createDataFrame([(2, "a b c", "", "", 1), (1, "a b c", "", "", 2), (3, "q r s t", "", "", 3)], SCHEMA)
-    assert sorted(r.doc_id for r in keep_first(docs).collect()) == [1, 3]
     assert fingerprint("x") == xxhash.xxh64_intdigest(b"x", 42)
 
 
@@ -97,3 +95,10 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+def test_very_long_texts_are_whole():
+    words = [f"w{i}" for i in range(60_000)] + [f"v{i % 7}" for i in range(140_000)]
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert fingerprint(" ".join(words)) == want != fingerprint(" ".join(words[:60_000]))
