@@ -1,8 +1,9 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus.
 
 Texts are cut into lower-cased runs of word characters and of symbols; their unigrams and bigrams are hashed into a
-fixed number of buckets.  Two smoothed multinomials over the buckets are estimated, one from trusted documents and one
-from every document, and a text's score is the mean over its n-grams of log p_target - log p_raw.  Every document is
+fixed number of buckets.  Two smoothed multinomials over the buckets are estimated, one from all trusted documents and one
+from every document; the target is smoothed towards the raw one, so that little evidence says little.  A text's score is
+the mean over its n-grams of log p_target - log p_raw.  Every document is
 held against one fixed threshold; nothing is drawn at random.
 
 Everything runs as DataFrame expressions.  The tables of the two multinomials have ``buckets`` rows whatever the input's
@@ -27,11 +28,12 @@ BLANKS = " \t\n\x0b\x0c\r"
 @dataclass(frozen=True)
 class QualityParams:
     buckets: int = 16384
+    #: N-grams added to each bucket of the raw model.
     smoothing: float = 1.0
+    #: N-grams, spread as the raw model has them, that are added to those of the trusted documents.
+    prior: float = 16384.0
     #: Documents whose mean log ratio is lower go.
     threshold: float = -0.4
-    #: At most so many trusted documents are used, those with the smallest hash of doc_id.
-    max_trusted: int = 20_000
     min_words: int = 10
     max_repeat_percent: int = 20
 
@@ -54,26 +56,19 @@ def _ngram_buckets(text: Column, buckets: int) -> Column:
 def log_ratio_table(docs: DataFrame, trusted: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """One row with ``table``: the log ratio of each bucket, by bucket number; all zero without trusted documents.
 
-    docs: doc_id, text.  trusted: doc_id of documents known to be good; at most ``max_trusted`` of them are used, which
-    bounds what is broadcast.
+    docs: doc_id, text.  trusted: doc_id of documents known to be good, all of which count; nulls do not, repeats once.
     """
-    chosen = (
-        trusted.select(F.col("doc_id").alias("trusted_id"))
-        .where("trusted_id IS NOT NULL")
-        .distinct()
-        .orderBy(F.xxhash64("trusted_id"), "trusted_id")
-        .limit(params.max_trusted)
-    )
+    chosen = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
     grams = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left")
+        .join(chosen, F.col("doc_id") == F.col("trusted_id"), "left")
         .select(
             F.when(F.col("trusted_id").isNotNull(), 1).otherwise(0).alias("target"),
             F.explode(_ngram_buckets(F.col("text"), params.buckets)).alias("bucket"),
         )
     )
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target"))
-    a, b = F.lit(params.smoothing), params.buckets
+    b = params.buckets
     # every bucket has a row, seen or not, so that a bucket's number is its place in the array
     every = docs.sparkSession.range(b).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("raw"), F.lit(0).alias("target"))
     rows = counts.unionByName(every).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -81,14 +76,13 @@ def log_ratio_table(docs: DataFrame, trusted: DataFrame, params: QualityParams =
         F.sum("raw").alias("n_raw"),
         F.sum("target").alias("n_target"),
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("cells"),
-    ).select(
-        F.transform(
-            "cells",
-            lambda c: F.when(F.col("n_target") == 0, F.lit(0.0)).otherwise(
-                F.log((c["target"] + a) / (F.col("n_target") + a * b)) - F.log((c["raw"] + a) / (F.col("n_raw") + a * b))
-            ),
-        ).alias("table")
-    )
+    ).select(F.transform("cells", lambda c: _log_ratio(c["target"], c["raw"], params)).alias("table"))
+
+
+def _log_ratio(target: Column, raw: Column, params: QualityParams) -> Column:
+    p_raw = (raw + F.lit(params.smoothing)) / (F.col("n_raw") + F.lit(params.smoothing * params.buckets))
+    prior = F.lit(params.prior)
+    return F.log((target + prior * p_raw) / (F.col("n_target") + prior)) - F.log(p_raw)
 
 
 def _repeat_words(words: Column) -> Column:

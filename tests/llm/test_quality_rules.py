@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     texts = [GOOD.format(w) for w in ("a", "the", "one", "that", "his")] + [BAD.format(w) for w in ("it", "he")]
     texts += [None, "", "  \n\t ", "one two", "a b c d e " * 6, "x\n\nx\ny z\ny z\n \n", "é ñ ü k " * 3, "a b c d e f a b c d e g h i j k l"]
     texts += ["w%d " % i * 2 + " ".join(f"q{i}{j}" for j in range(40)) for i in range(3)] + [GOOD.format("a")] * 2
-    params = QualityParams(buckets=64)
+    params = QualityParams(buckets=64, prior=50.0)
     docs = spark.createDataFrame(rows(texts), SCHEMA)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(5)] + [(5, 0, 0), (0, 1, 0), (None, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
     raw, target = Counter(), Counter()
@@ -52,7 +52,8 @@ def test_against_brute_force(spark):
         if i < 5:
             target.update(grams(t, 64))
     n, m = sum(raw.values()), sum(target.values())
-    ratio = [math.log((target[b] + 1) / (m + 64)) - math.log((raw[b] + 1) / (n + 64)) for b in range(64)]
+    p_raw = [(raw[b] + 1) / (n + 64) for b in range(64)]
+    ratio = [math.log((target[b] + 50 * p_raw[b]) / (m + 50)) - math.log(p_raw[b]) for b in range(64)]
     got = {r.doc_id: r for r in quality_rules(docs, trusted_documents(labels), params).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
@@ -68,9 +69,31 @@ def test_junk_goes_and_clean_text_stays(spark):
     bad = [BAD.format(f"w{i}") for i in range(8)]
     docs = spark.createDataFrame(rows(good + bad), SCHEMA)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
-    small = QualityParams(buckets=512, smoothing=0.1)
-    got = {r.doc_id: r.kept for r in quality_rules(docs, trusted_documents(labels), small).collect()}
+    got = {r.doc_id: r.kept for r in quality_rules(docs, trusted_documents(labels), QualityParams(buckets=512, prior=20.0)).collect()}
     assert all(got[i] for i in range(40)) and not any(got[i] for i in range(40, 48))
+    # with production parameters so few trusted documents say little, and reject nothing
+    assert all(r.kept for r in quality_rules(docs, trusted_documents(labels)).collect())
+
+
+def test_labelled_documents_with_production_parameters(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
+    truth = {r.doc_id: (r.quality, r.toxic) for r in labels.collect()}
+    good, bad, saved = set(), set(), set()
+    for r in quality_rules(docs, trusted_documents(labels)).collect():
+        if r.doc_id in truth and not r.base_failed:
+            (good if truth[r.doc_id] == (1, 0) else bad if truth[r.doc_id][0] == 0 else set()).add(r.doc_id)
+            saved |= {r.doc_id} if r.kept else set()
+    assert len(good & saved) >= 0.98 * len(good) and len(bad & saved) <= 0.1 * len(bad)
+    few = labels.where("quality = 1 AND toxic = 0").limit(3)
+    kept = {r.doc_id for r in quality_rules(docs, few.select("doc_id")).collect() if r.kept}
+    assert len(good & kept) >= 0.98 * len(good)
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"w{i % 5000}" for i in range(60_000))
+    (r,) = quality_rules(spark.createDataFrame(rows([text]), SCHEMA), spark.createDataFrame([(0,)], "doc_id long")).collect()
+    assert (r.n_words, r.word_chars, r.n_repeat_words, r.base_failed) == (60_000, len(text) - 59_999, 60_000, True)
 
 
 def test_empty_tables(spark):
