@@ -1,16 +1,37 @@
-"""Cutting lineage of iterative plans."""
+"""Cutting lineage of iterative plans, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder below the warehouse, or a temporary one if all runs in one process."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        own = tempfile.mkdtemp(prefix="kgraph-ckpt-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/kgraph-scratch"
+        spark.sparkContext.setCheckpointDir(own)
+        current = spark.sparkContext.getCheckpointDir()
+    return current.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir, or in a folder of our own where that is unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kgraph-ckpt-"))
+    """A reliable checkpoint in the shared folder.  Spark removes its files once the data is no longer referred to if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system, if it is there."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

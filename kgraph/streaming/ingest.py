@@ -6,7 +6,6 @@ Every stream here runs over what there is and ends (availableNow); a service wou
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.cut import shared_dir
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A folder of its own below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgraph-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A folder of its own below the shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
