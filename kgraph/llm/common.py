@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cut import delete, shared_dir
+
 #: A word: a run of characters that are none of space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +17,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kgraph-ckpt-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+#: Folders that materialize has written, in order.
+WRITTEN: list[str] = []
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kgraph_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove what materialize wrote for df, when nothing will read it again."""
+    path = getattr(df, "kgraph_path", None)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+        delete(df.sparkSession, path)
+
+
+def release_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Remove all that was written from WRITTEN[mark] on, but for keep."""
+    for path in WRITTEN[mark:]:
+        if path != keep.kgraph_path:
+            WRITTEN.remove(path)
+            delete(spark, path)
 
 
 def let(value: Column, body) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         following = materialize(_star(_star(edges, True), False), "links")
         # a star forest is a fixed point: the same rows again
         same = [f.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for f in (edges, following)]
+        release(edges)
         edges = following
         if tuple(same[0]) == tuple(same[1]):
             break

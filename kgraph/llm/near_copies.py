@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, release
 from .components import connected_components
 from .simhash import SimHashParams, fingerprint, links
 from .suffix_dedup import inverse_powers, mixed, prefix_hashes
@@ -244,10 +244,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFram
         side = lambda k: sets.select(F.col("node").alias(k), F.col(column).alias(f"{k}_{column}"))
         return pairs.join(side("u"), "u").join(side("v"), "v")
 
-    pairs = materialize(with_both(pairs, "sketch").mapInPandas(_bounded, "u long, v long"), "candidates")
+    tried, pairs = pairs, materialize(with_both(pairs, "sketch").mapInPandas(_bounded, "u long, v long"), "candidates")
+    release(tried)
     both = F.size(F.array_intersect("u_set", "v_set"))
     alike = both * sum(LEAST) >= LEAST[0] * (F.size("u_set") + F.size("v_set"))
-    return materialize(with_both(pairs, "set").where(alike).select("u", "v"), "alike")
+    found = materialize(with_both(pairs, "set").where(alike).select("u", "v"), "alike")
+    release(sets)
+    release(pairs)
+    return found
 
 
 def near_copy_groups(docs: DataFrame, params: SimHashParams) -> DataFrame:

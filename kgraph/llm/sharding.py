@@ -16,7 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from ..functions.cut import shared_dir
+from .common import materialize
 
 #: Rows that are numbered in one go; a slot with more is numbered in parts.
 RANK_ROWS = 1000
@@ -138,7 +139,7 @@ def shard(docs: DataFrame, n_shards: int = 8, n_slots: int = 4096, path: str | N
     driver.  Rows that repeat are one row with a count until the end.
     """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     sized = materialize(with_slots(docs, n_slots), "sized")
     stats = sized.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
     slots = load_map(spark, path)
