@@ -5,7 +5,7 @@ import corpus_pipeline
 from kgraph.llm.mixing import mix
 from kgraph.llm.packing import pack
 from kgraph.llm.quality_rules import quality_rules, trusted_documents
-from kgraph.llm.simhash import simhash_groups
+from test_near_copies import groups
 from kgraph.llm.suffix_dedup import suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,7 +50,7 @@ def test_stages(spark, tmp_path):
     kept = {r.doc_id for r in quality_rules(spark.createDataFrame(rows, SCHEMA), trusted_documents(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect() if r.kept}
     assert {r["doc_id"] for r in seen[0]} == kept and 2002 not in kept
     assert all((r["text"], r["lang"], r["source"]) == original[r["doc_id"]][1:4] for r in seen[0])
-    firsts = {r.component_id for r in simhash_groups(frame(seen[0]), corpus_pipeline.NEAR).collect()}
+    firsts = {g for _, g in groups([(r["doc_id"], r["text"]) for r in seen[0]])}
     assert {r["doc_id"] for r in seen[1]} == firsts and not any(d >= 1000 for d in firsts)
     cut = {r.doc_id: r.kept for r in suffix_dedup(frame(seen[1]), with_text=True).collect()}
     assert {r["doc_id"]: r["text"] for r in seen[2]} == cut
@@ -62,3 +62,41 @@ def test_stages(spark, tmp_path):
         by[r["doc_id"]] += r["length"]
     assert by == {d: sum(r.length for r in pack(frame([next(x for x in seen[2] if x["doc_id"] == d)])).collect()) * n for d, n in copies.items() if n and d in list(copies)[:3]} | {d: v for d, v in by.items() if d not in list(copies)[:3]}
     assert Counter((r["doc_id"], r["start"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter((r["doc_id"], r["start"]) for r in seen[4])
+
+
+def test_nulls_clashing_names_and_empty_tables(spark, tmp_path):
+    schema = SCHEMA + ", kept string, row string, size int, copies int, kept_id long, text_sha256 string, component long"
+    extra = ("a", "b", 3, 4, 5, "c", 6)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda: " ".join(rng.choices(words, k=80))
+    one, two = text(), text()
+    rows = [(1, one, "en", "s", 1, *extra), (None, one, "en", "s", 1, *extra), (None, two, None, None, None, *extra), (None, text(), "en", None, 1, *extra)]
+    rows += [(2, text(), "en", "s", 1, *[None] * 7)] * 3 + [(3, None, "en", "s", 1, *extra), (4, " ".join(rng.choices(words, k=90_000)), "en", "s", 1, *extra)]
+    for k, found in enumerate((rows, [])):
+        folder = f"{tmp_path}/{k}"
+        spark.createDataFrame(found, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)][: len(found)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        names = docs.columns
+        for j, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            out.write.parquet(f"{folder}/out{j}")
+            docs = spark.read.parquet(f"{folder}/out{j}")
+            assert j == 4 or docs.columns == names
+            if j == 1 and found:
+                # the text without a copy under an id stays, rows that repeat are one
+                assert sorted((r.doc_id for r in docs.collect()), key=repr) == sorted([1, 2, 4, None, None], key=repr)
+                assert {r.text for r in docs.collect() if r.doc_id is None} >= {two}
+        assert (docs.count() > 0) == bool(found)
+        assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_run_leaves_only_what_it_reads(spark, tmp_path):
+    from kgraph.llm.common import WRITTEN
+
+    spark.createDataFrame(make(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mark = len(WRITTEN)
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert len(WRITTEN) == mark + 1
