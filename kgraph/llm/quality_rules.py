@@ -23,6 +23,8 @@ from .common import WORD, let
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Ids of trusted documents that are broadcast; more meet the documents by a shuffle.
+BROADCAST_IDS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,7 @@ def log_ratio_table(docs: DataFrame, trusted: DataFrame, params: QualityParams =
     docs: doc_id, text.  trusted: doc_id of documents known to be good, all of which count; nulls do not, repeats once.
     """
     chosen = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     grams = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .join(chosen, F.col("doc_id") == F.col("trusted_id"), "left")
