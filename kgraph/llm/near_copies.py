@@ -4,7 +4,10 @@ A node is a distinct set of shingle hashes.  Links of operator 1 are tried first
 cheap to join.  The rest is a prefix-filtered set join that loses nothing: shingles have one global order, rare ones first
 (by counts in hashed buckets; any order is right); two sets of 0.8 or more share one of the first n - ceil(0.8 n) + 1
 shingles of each.  Pairs that meet there, in different components so far, are
-held against each other: by sketches that bound what they share, then in full.
+held against each other: by sketches that bound what they share, then in full.  That is done twice.  The first time a set
+is paired only with a few of each shingle, those that have the shingle first in their order: copies with few changes of
+their own, which most others are like.  So nearly all that belongs together is joined by pairs in proportion to the sets; the
+second time all pairs are taken that are still in different components.
 
 Sets are not stored, as they take more room than the texts: whoever needs one computes it anew, and only sets of documents
 in a pair that is tried are written.
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +31,17 @@ from .suffix_dedup import inverse_powers, mixed, prefix_hashes
 
 #: Words in a shingle, and the least similarity as LEAST[0] / LEAST[1].
 SHINGLE, LEAST = 5, (4, 5)
-#: Buckets in which shingles are counted for their order.
-BUCKETS = 1 << 17
+#: Buckets in which shingles are counted for their order: an eighth of all shingles, within these powers of two, so that a
+#: shingle that many sets have stands out from what shares its bucket.  A byte a bucket reaches every task.
+LEAST_BUCKETS, MOST_BUCKETS = 17, 24
+#: Buckets that are summed together.
+BLOCK = 1 << 16
 #: Ranges of hashes in which a sketch counts a set's shingles.
 RANGES = 128
+#: Sets of a shingle that all others are paired with at first.
+HUBS = 8
+#: Sets of a shingle from which on those outside its largest component are held against the others one by one.
+MANY = 32
 #: Bytes of text whose words are hashed together.
 SLICE = 1 << 20
 #: Factors of a shingle's words.
@@ -112,39 +123,66 @@ def _batches(texts, most: int = 2000) -> Iterator[tuple[int, int]]:
 
 
 def _nodes(params: SimHashParams):
-    """Rows of doc_id, digest, text to doc_id, digest, fp, node."""
+    """Rows of doc_id, digest, text to NODES."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
-            nodes = [node_of(s) for lo, hi in _batches(texts) for s in shingle_sets(texts[lo:hi])]
+            found = [(node_of(s), len(s)) for lo, hi in _batches(texts) for s in shingle_sets(texts[lo:hi])]
+            node, size = np.array(found, np.int64).reshape(-1, 2).T
             fps = np.array([fingerprint(t, params) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": fps, "node": np.array(nodes, np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "fp": fps, "node": node, "size": size.astype(np.int32)})
 
     return work
 
 
-def _bucket_counts(docs: DataFrame) -> np.ndarray:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, np.int64)
+NODES = "doc_id long, digest long, fp long, node long, size int"
+
+
+def _ranks(docs: DataFrame, shingles: int) -> np.ndarray:
+    """For each bucket, a byte that grows with the logarithm of its count: an order is enough, and any is right."""
+    bits = int(np.clip(np.ceil(np.log2(max(1, shingles) / 8)), LEAST_BUCKETS, MOST_BUCKETS))
+    buckets = 1 << bits
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(buckets, np.uint32)
         for batch in batches:
             texts = batch["text"].tolist()
             for lo, hi in _batches(texts):
-                total += np.bincount(np.concatenate(shingle_sets(texts[lo:hi])) & (BUCKETS - 1), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+                at, n = np.unique(np.concatenate(shingle_sets(texts[lo:hi])) & (buckets - 1), return_counts=True)
+                total[at] += n.astype(np.uint32)
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for k in range(0, buckets, BLOCK):
+            yield pd.DataFrame({"block": [k // BLOCK], "counts": [squeeze.compress(total[k : k + BLOCK].tobytes())]})
 
-    # a row per bucket
-    found = docs.select("text").mapInPandas(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        expand = zstandard.ZstdDecompressor()
+        last, total = None, None
 
+        def row() -> pd.DataFrame:
+            return pd.DataFrame({"block": [last], "counts": [np.round(7 * np.log2(1 + total)).clip(0, 255).astype(np.uint8).tobytes()]})
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """shingle, node, size, place: the first shingles of each set in the global order.  Copies leave a task once."""
-    # an order is enough: ranks are smaller than counts
-    rank = np.unique(_bucket_counts(docs), return_inverse=True)[1].astype(np.int32)
+        for batch in batches:
+            for block, counts in zip(batch["block"], batch["counts"]):
+                if block != last:
+                    if last is not None:
+                        yield row()
+                    last, total = block, np.zeros(min(BLOCK, buckets), np.uint64)
+                total += np.frombuffer(expand.decompress(counts), np.uint32)
+        if last is not None:
+            yield row()
+
+    schema = "block int, counts binary"
+    parts = docs.select("text").mapInPandas(count, schema).repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
+    ranks = np.zeros(buckets, np.uint8)
+    for r in parts.mapInPandas(add, schema).collect():  # a byte a bucket
+        ranks[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.uint8)
+    return ranks
+
+
+def _prefixes(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+    """shingle, node, size, place: the first shingles of each set in the global order, that of rank by bucket.  Copies leave a
+    task once."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
@@ -159,7 +197,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                     seen.add(node)
                     first = n - (LEAST[0] * n + LEAST[1] - 1) // LEAST[1] + 1
                     # s is sorted, so a stable sort breaks ties by hash
-                    head = s[np.argsort(rank[s & (BUCKETS - 1)], kind="stable")[:first]]
+                    head = s[np.argsort(rank[s & (len(rank) - 1)], kind="stable")[:first]]
                     out.append((head, np.full(first, node, np.int64), np.full(first, n, np.int32), np.arange(first, dtype=np.int32)))
                 if out:
                     yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("shingle", "node", "size", "place"), zip(*out))})
@@ -167,48 +205,107 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(work, "shingle long, node long, size int, place int")
 
 
+def _hubs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by shingle and what is left after it, longest first.  Pairs of a shingle's first rows with the others, in
+    different components."""
+    top, bottom = LEAST
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        shingle, node, part = (batch[c].to_numpy(np.int64) for c in ("shingle", "node", "component"))
+        size, left = batch["size"].to_numpy(np.int64), (batch["size"] - batch["place"]).to_numpy(np.int64)
+        head = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        first = np.repeat(head, np.diff(np.append(head, len(batch))))
+        rows = np.arange(len(batch))
+        out = []
+        for k in range(HUBS):
+            hub = first + k
+            row = np.flatnonzero(rows > hub)
+            hub = hub[row]
+            small, big = np.minimum(size[row], size[hub]), np.maximum(size[row], size[hub])
+            least = np.minimum(left[row], left[hub]) * (top + bottom) >= top * (small + big)
+            take = (bottom * small >= top * big) & least & (part[row] != part[hub])
+            out.append(np.stack([node[row[take]], node[hub[take]]], axis=1))
+        pairs = np.concatenate(out)
+        yield pd.DataFrame(np.stack([pairs.min(axis=1), pairs.max(axis=1)], axis=1), columns=["u", "v"]).drop_duplicates()
+        # the last shingle may go on in the next batch: its hubs are taken along
+        held = batch.iloc[head[-1] : head[-1] + HUBS]
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by shingle and size.  Pairs of one shingle that sizes and places allow to be alike."""
+    """Rows come sorted by shingle and size.  Pairs of one shingle that sizes and places allow to be alike, in different
+    components."""
     top, bottom = LEAST
 
+    def frame(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}).drop_duplicates()
+
     def pairs(cells: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        cells = cells.drop_duplicates(["shingle", "node"])
         shingle, node, part = (cells[c].to_numpy(np.int64) for c in ("shingle", "node", "component"))
         size, left = cells["size"].to_numpy(np.int64), (cells["size"] - cells["place"]).to_numpy(np.int64)
-        alone = np.arange(len(cells))
-        # pair each row with the one `gap` rows on, until no row has one in reach: the same shingle, and not too long
-        gap = 1
-        out = []
-        held = 0
-        while len(alone):
+
+        def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """a, b: rows of one shingle, the shorter set first."""
+            least = np.minimum(left[a], left[b]) * (top + bottom) >= top * (size[a] + size[b])
+            return (bottom * size[a] >= top * size[b]) & least & (part[a] != part[b])
+
+        head = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        number = np.diff(np.append(head, len(cells)))
+        # few: pair each row with the one `gap` rows on
+        alone = np.flatnonzero(np.repeat(number <= MANY, number))
+        for gap in range(1, MANY):
             alone = alone[alone + gap < len(cells)]
-            other = alone + gap
-            near = (shingle[alone] == shingle[other]) & (bottom * size[alone] >= top * size[other])
-            alone, other = alone[near], other[near]
-            least = np.minimum(left[alone], left[other]) * (top + bottom) >= top * (size[alone] + size[other])
-            take = least & (part[alone] != part[other])
-            u, v = node[alone[take]], node[other[take]]
-            out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
-            held += len(u)
-            if held > 1 << 18:
-                yield pd.DataFrame(np.concatenate(out), columns=["u", "v"]).drop_duplicates()
-                out, held = [], 0
-            gap += 1
-        if out:
-            yield pd.DataFrame(np.concatenate(out), columns=["u", "v"]).drop_duplicates()
-
-    rest = None
+            alone = alone[shingle[alone] == shingle[alone + gap]]
+            if not len(alone):
+                break
+            take = alone[alike(alone, alone + gap)]
+            if len(take):
+                yield frame(node[take], node[take + gap])
+        for lo, n in zip(head[number > MANY].tolist(), number[number > MANY].tolist()):
+            rows = np.arange(lo, lo + n)
+            values, counts = np.unique(part[rows], return_counts=True)
+            if len(values) == 1:
+                continue
+            most = values[counts.argmax()]
+            out, size_out = [], 0
+            for row in rows[part[rows] != most].tolist():
+                # with the rest, and with others of the few only once
+                other = rows[(part[rows] == most) | (rows > row)]
+                a, b = np.minimum(other, row), np.maximum(other, row)
+                take = alike(a, b)
+                out.append((node[a[take]], node[b[take]]))
+                size_out += int(take.sum())
+                if size_out > 1 << 18:
+                    yield frame(*map(np.concatenate, zip(*out)))
+                    out, size_out = [], 0
+            if out:
+                yield frame(*map(np.concatenate, zip(*out)))
+
+    held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        cells = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        newest = batch["shingle"].iloc[-1]
+        ends = batch["shingle"].to_numpy() == newest
+        if held and held[0]["shingle"].iloc[0] == newest:
+            held.append(batch)
+            continue
         # the last shingle may go on in the next batch
-        cut = int(np.flatnonzero(cells["shingle"].to_numpy() != cells["shingle"].iloc[-1])[-1]) + 1 if cells["shingle"].iloc[0] != cells["shingle"].iloc[-1] else 0
-        rest = cells.iloc[cut:]
-        if cut:
-            yield from pairs(cells.iloc[:cut])
-    if rest is not None:
-        yield from pairs(rest)
+        yield from pairs(pd.concat([*held, batch[~ends]], ignore_index=True).drop_duplicates(["shingle", "node"]))
+        held = [batch[ends]]
+    if held:
+        yield from pairs(pd.concat(held, ignore_index=True).drop_duplicates(["shingle", "node"]))
+
+
+def _met(docs: DataFrame, rank: np.ndarray, parts: DataFrame, every: bool) -> DataFrame:
+    """Pairs u, v that may be alike, in different parts (node, component): every one, or with hubs only."""
+    cells = _prefixes(docs, rank).join(parts, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("component"))
+    spread = cells.repartition(partitions(docs.sparkSession), "shingle")
+    if every:
+        return spread.sortWithinPartitions("shingle", "size", "node").mapInPandas(_meet, "u long, v long")
+    return spread.sortWithinPartitions("shingle", F.col("place") - F.col("size"), "node").mapInPandas(_hubs, "u long, v long")
 
 
 def _bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,13 +332,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFram
     """The pairs u, v whose sets are alike enough.  owners: node, digest, one text of each node."""
     pairs = materialize(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates")
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = docs.join(owners.join(ends, "node", "left_semi").select("digest"), "digest", "left_semi")
+    # written first, so that Spark knows its size
+    digests = materialize(owners.join(ends, "node", "left_semi").select("digest"), "digests")
+    asked = docs.join(digests, "digest", "left_semi")
     # copies of a text give the same set again
     sets = asked.select("text").mapInPandas(_sets, "node long, sketch binary, set array<long>").dropDuplicates(["node"])
     sets = materialize(sets, "sets")
 
     def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        side = lambda k: sets.select(F.col("node").alias(k), F.col(column).alias(f"{k}_{column}"))
+        # sets may be long: they are never broadcast
+        side = lambda k: sets.select(F.col("node").alias(k), F.col(column).alias(f"{k}_{column}")).hint("merge")
         return pairs.join(side("u"), "u").join(side("v"), "v")
 
     tried, pairs = pairs, materialize(with_both(pairs, "sketch").mapInPandas(_bounded, "u long, v long"), "candidates")
@@ -262,18 +362,19 @@ def near_copy_groups(docs: DataFrame, params: SimHashParams) -> DataFrame:
     an empty result."""
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    nodes = materialize(docs.mapInPandas(_nodes(params), "doc_id long, digest long, fp long, node long"), "nodes")
+    nodes = materialize(docs.mapInPandas(_nodes(params), NODES), "nodes")
     owners = nodes.groupBy("node").agg(F.min("digest").alias("digest"))
     leads = nodes.groupBy("fp").agg(F.min("node").alias("lead"))
     lead = lambda k: leads.select(F.col("fp").alias(k), F.col("lead").alias(f"{k}_lead"))
     linked = links(nodes.select("fp").distinct(), params).join(lead("u"), "u").join(lead("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
     same = nodes.select("fp", "node").distinct().join(leads, "fp").select(F.col("lead").alias("u"), F.col("node").alias("v"))
     first = _confirmed(linked.unionByName(same), docs, owners)
-    parts = connected_components(first)
-    cells = _prefixes(docs).join(parts, "node", "left").select("shingle", "node", "size", "place", F.coalesce("component", "node").alias("component"))
-    spread = cells.repartition(partitions(docs.sparkSession), "shingle").sortWithinPartitions("shingle", "size", "node")
-    second = _confirmed(spread.mapInPandas(_meet, "u long, v long"), docs, owners)
-    parts = connected_components(first.unionByName(second))
+    rank = _ranks(docs, nodes.agg(F.sum("size")).first()[0] or 0)
+    alike = first
+    parts = connected_components(alike)
+    for every in (False, True):
+        alike = alike.unionByName(_confirmed(_met(docs, rank, parts, every), docs, owners))
+        parts = connected_components(alike)
     return nodes.join(parts, "node", "left").select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
 
 

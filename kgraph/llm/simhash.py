@@ -79,7 +79,7 @@ def anchor_count(n: int) -> int:
 def _replicate(k: int, threshold: int):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = anchors(k)
-        step = max(1, (1 << 21) // k)
+        step = max(1, (1 << 19) // k)
         for batch in batches:
             every = batch["fp"].to_numpy(np.int64).view(np.uint64)
             for at in range(0, len(every), step):
@@ -106,7 +106,7 @@ def _forest(a: np.ndarray, b: np.ndarray, threshold: int) -> list[tuple[int, int
         return int(x)
 
     out = []
-    step = max(1, (1 << 21) // max(1, len(b)))
+    step = max(1, (1 << 18) // max(1, len(b)))
     for at in range(0, len(a), step):
         rows, cols = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= threshold)
         x, y = left[at + rows], right[cols]
