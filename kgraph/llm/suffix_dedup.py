@@ -37,7 +37,7 @@ from .common import materialize, partitions
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Window starts that are hashed together, and runs of a map task that are settled together.
-CHUNK, RUNS = 1 << 18, 1 << 20
+CHUNK, RUNS = 1 << 18, 1 << 18
 #: doc_id of null, before all others.
 NO_ID = -(1 << 63)
 #: Distinct windows of those that a task remembers at a time.
@@ -448,7 +448,7 @@ def repeated_windows(data: np.ndarray, start: np.ndarray, bucket: np.ndarray, le
 
 
 #: Bytes of contexts that are sorted together.
-SORT_BYTES = 1 << 21
+SORT_BYTES = 1 << 20
 
 
 def _ends(params: SuffixParams):

@@ -52,15 +52,21 @@ def _encodings(path: str):
 
 
 @lru_cache(2)
-def _added(path: str):
-    """The vocabulary's tokenizer, and a pattern of its added tokens; None where the file names none."""
+def _added(path: str) -> re.Pattern | None:
+    """A pattern of the vocabulary's added tokens; None where the file names none."""
     if not path.endswith(".json"):
-        return None, None
-    from tokenizers import Tokenizer
-
+        return None
     with open(path, encoding="utf-8") as f:
         strings = [t["content"] for t in json.load(f).get("added_tokens") or []]
-    return (Tokenizer.from_file(path), re.compile("|".join(map(re.escape, strings)))) if strings else (None, None)
+    return re.compile("|".join(map(re.escape, strings))) if strings else None
+
+
+@lru_cache(2)
+def _tokenizer(path: str):
+    """Loaded only where a text needs it: it takes as much memory as all else here."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Encoder:
@@ -73,10 +79,10 @@ class Encoder:
 
     def __init__(self, path: str):
         self.full, self.plain = _encodings(path)
-        self.own, self.added = _added(path)
+        self.path, self.added = path, _added(path)
 
     def encode(self, text: str) -> np.ndarray:
         if self.added and self.added.search(text):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            return np.array(_tokenizer(self.path).encode(text, add_special_tokens=False).ids, dtype="<u4")
         encoding = self.full if BLANKS.search(text) else self.plain
         return np.array(encoding.encode_ordinary(text), dtype="<u4")
