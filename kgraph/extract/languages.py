@@ -245,14 +245,25 @@ def section_of(content: str, section: str, lines: tuple[int, int] | None = None)
     return found
 
 
+def svelte_labels(path: str, name: str) -> list[tuple[str, str, str, float, tuple[str, ...]]]:
+    """Of a framework's route files, told by path and name; the body has no say."""
+    file = posixpath.basename(path)
+    if name == "load" and r.SVELTE_LOAD.search(file):
+        return [("svelte-load", "data-access", "load function", 0.95, ("sveltekit",))]
+    if name in r.HTTP_METHODS and file in ("+server.js", "+server.ts"):
+        return [("svelte-server-endpoint", "route-handler", "server endpoint", 0.95, ("sveltekit", name.lower()))]
+    return []
+
+
 def detect(path: str, content: str, name: str, body: str | None, decorators: list[str] = ()) -> list[tuple[str, str, str, float, tuple[str, ...]]]:
     """(detector, category, term, confidence, descriptors) of a node."""
+    out = svelte_labels(path, name)
     if not body:
-        return []
+        return out
     language = {"js": "js", "mjs": "js", "cjs": "js", "py": "py"}.get(path.rpartition(".")[2], "")
-    out = [(k, c, t, f, d) for k, (lang, c, t, p, f, d) in r.DETECTORS.items() if lang == language and re.search(p, body)]
+    out += [(k, c, t, f, d) for k, (lang, c, t, p, f, d) in r.DETECTORS.items() if lang == language and re.search(p, body, re.ASCII)]
     if language == "js":
-        if m := re.search(r.THREE_ARGUMENTS, body):
+        if m := re.search(r.THREE_ARGUMENTS, body, re.ASCII):
             named = m.groups() == ("req", "res", "next")
             out.append(("express-middleware", "middleware", "middleware", 0.95 if named else 0.7, ("express", "request") if named else ("3-arity",)))
         attached = rf"(?<!\w)app\.(get|post|put|patch|delete|all|use)\s*\(\s*['\"`][^'\"`]+['\"`]\s*,\s*{re.escape(name)}(?!\w)"

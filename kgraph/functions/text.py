@@ -149,6 +149,31 @@ def short_stat(text: Column) -> list[Column]:
     return [number(r"(\d+) files? changed"), number(r"(\d+) insertions?"), number(r"(\d+) deletions?")]
 
 
+def date_prefix(text: Column) -> Column:
+    """The first ten characters."""
+    return F.substring(text, 1, 10)
+
+
+def month_day(at: Column) -> Column:
+    """As in "Mar 7"."""
+    return F.date_format(at, "MMM d")
+
+
+def clock(text: Column) -> Column:
+    """The first HH:MM of a text, or an empty one."""
+    return F.regexp_extract(text, r"(\d{2}:\d{2})", 1)
+
+
+def short_sha(sha: Column) -> Column:
+    """I20."""
+    return F.substring(F.coalesce(sha, F.lit("")), 1, 7)
+
+
+def folder_name(cwd: Column) -> Column:
+    """A working folder as the name of its log folder."""
+    return F.translate(cwd, "/", "-")
+
+
 _METACHARACTERS = re.compile(r"([.^$*+?()\[\]{}|\\])")
 
 

@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions.cut import cut
 
-SMALL_EDGE_TYPES = 10_000
+#: Followed edge types, at most: they become a list of literals, so that tables of other types are not read.
+MOST_EDGE_TYPES = 10_000
 
 
 def file_edges(nodes: DataFrame, edges: DataFrame, edge_types: DataFrame | None = None) -> DataFrame:
     """target_project, target_file, source_project, source_file of distinct (followed) edges."""
     if edge_types is not None:
-        followed = edge_types.where("follows").select(F.col("name").alias("type")).limit(SMALL_EDGE_TYPES)
-        edges = edges.join(F.broadcast(followed), "type", "left_semi")
+        followed = [r.name for r in edge_types.where("follows").select("name").distinct().limit(MOST_EDGE_TYPES + 1).collect()]
+        if len(followed) > MOST_EDGE_TYPES:
+            raise ValueError(f"more than {MOST_EDGE_TYPES} followed edge types")
+        edges = edges.where(F.col("type").isin(sorted(followed)))
     ends = nodes.select("id", "project", "file")
     source = ends.select(F.col("id").alias("source_id"), F.col("project").alias("source_project"), F.col("file").alias("source_file"))
     target = ends.select(F.col("id").alias("target_id"), F.col("project").alias("target_project"), F.col("file").alias("target_file"))
@@ -50,10 +53,10 @@ def blast_radius(roots: DataFrame, hops: DataFrame, depth: int = 3) -> DataFrame
 
 
 def direct_dependencies(hops: DataFrame) -> DataFrame:
-    """For each file, how many other files it points to and is pointed to by, over all edge types."""
+    """For each file, how many other files it points to and is pointed to by, over all edge types; hops are distinct."""
     other = hops.where("NOT (target_project = source_project AND target_file = source_file)")
-    out = other.groupBy(F.col("source_project").alias("project"), F.col("source_file").alias("file")).agg(F.countDistinct("target_project", "target_file").alias("imports"))
-    into = other.groupBy(F.col("target_project").alias("project"), F.col("target_file").alias("file")).agg(F.countDistinct("source_project", "source_file").alias("imported_by"))
+    out = other.groupBy(F.col("source_project").alias("project"), F.col("source_file").alias("file")).agg(F.count("*").alias("imports"))
+    into = other.groupBy(F.col("target_project").alias("project"), F.col("target_file").alias("file")).agg(F.count("*").alias("imported_by"))
     return out.join(into, ["project", "file"], "full_outer").fillna(0, ["imports", "imported_by"])
 
 
@@ -189,13 +192,18 @@ def per_project(nodes: DataFrame, labels: DataFrame, scans: DataFrame | None = N
 
 
 def find_nodes(nodes: DataFrame, wanted: list[str]) -> DataFrame:
-    """C4: for each name, the nodes called exactly so; only where there is none, those that begin so, whatever the case."""
-    ask = F.broadcast(nodes.sparkSession.createDataFrame([(w,) for w in wanted], "query string"))
-    tier = F.when(F.col("name") == F.col("query"), 0).otherwise(1)
-    hit = (F.col("name") == F.col("query")) | F.lower("name").startswith(F.lower("query"))
-    found = nodes.join(ask, hit).withColumn("tier", tier)
-    best = found.withColumn("best", F.min("tier").over(Window.partitionBy("query")))
-    return best.where("tier = best").select("query", "tier", "id", "project", "file", "name", "type")
+    """C4: for each name, the nodes called exactly so; only where there is none, those that begin so, whatever the case.
+
+    Both tiers are equalities: of the name, and of as many of its first characters as a wanted name has."""
+    ask = nodes.sparkSession.createDataFrame([(w,) for w in sorted(set(wanted))], "query string")
+    columns = ["query", "tier", "id", "project", "file", "name", "type"]
+    exact = nodes.join(F.broadcast(ask), F.col("name") == F.col("query")).withColumn("tier", F.lit(0)).select(columns)
+    lengths = sorted({len(w) for w in wanted})
+    heads = F.explode(F.array(*[F.lower(F.substring("name", 1, n)) for n in lengths])).alias("head")
+    begun = nodes.select("id", "project", "file", "name", "type", heads).distinct()
+    rest = ask.join(exact.select("query").distinct(), "query", "left_anti").withColumn("head", F.lower("query"))
+    found = begun.join(F.broadcast(rest), "head").withColumn("tier", F.lit(1)).select(columns)
+    return exact.unionByName(found.distinct())
 
 
 def structure(nodes: DataFrame, file: str) -> DataFrame:

@@ -181,8 +181,8 @@ def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         changed = following.join(state.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").limit(1).count()
         state = following
         if not changed:
-            break
-    return state
+            return state
+    raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
 def consolidate(signals: DataFrame, groups: DataFrame) -> DataFrame:

@@ -49,12 +49,17 @@ def lines(files: DataFrame) -> DataFrame:
 
 
 def grep(rows: DataFrame, pattern: str, context: int = 3, per_file: int = 20) -> DataFrame:
-    """Matching lines with those before and after, at most per_file of a file."""
+    """Matching lines with those before and after, at most per_file of a file.
+
+    Hits are found first; only lines near one are gathered, by equality of their number."""
     order = Window.partitionBy("project", "file").orderBy("line_no")
-    around = lambda a, b: F.array_join(F.collect_list("text").over(order.rowsBetween(a, b)), "\n")
-    hit = F.col("text").rlike(pattern)
-    wide = rows.withColumns({"before": around(-context, -1), "after": around(1, context), "hit": hit})
-    return wide.where("hit").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_file).drop("hit", "n")
+    hits = rows.where(F.col("text").rlike(pattern)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_file).drop("n")
+    steps = F.explode(F.array(*[F.lit(k) for k in (*range(-context, 0), *range(1, context + 1))])).alias("step")
+    near = hits.select("project", "file", F.col("line_no").alias("hit_no"), steps).withColumn("line_no", F.col("hit_no") + F.col("step"))
+    found = near.join(rows.select("project", "file", "line_no", F.col("text").alias("other")), ["project", "file", "line_no"])
+    side = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("step", "other")))), lambda r: r["other"]), "\n")
+    around = found.groupBy("project", "file", F.col("hit_no").alias("line_no")).agg(side(F.col("step") < 0).alias("before"), side(F.col("step") > 0).alias("after"))
+    return hits.join(around, ["project", "file", "line_no"], "left").fillna("", ["before", "after"])
 
 
 # What tells the direction of a line.  \b is ASCII here.
