@@ -243,7 +243,7 @@ def list_projects(spark, sf_dir):
 
 @query(
     "edge_resolution",
-    "D3 D4 J9",
+    "D3 D4",
     f"""WITH {GRAPH}, firsts AS (SELECT project, file, min(id) AS first_id FROM nodes GROUP BY ALL), names AS (SELECT project, name, min(id) AS id FROM nodes GROUP BY ALL),
 own AS (SELECT project, file, name, min(id) AS id FROM nodes GROUP BY ALL),
 raw AS (SELECT project, file, name AS source, CASE WHEN id % 3 = 0 THEN 'nation/' || (id // 8 % 30) ELSE 'customer/' || (id // 8 % 30) END AS target, 'imports' AS type FROM nodes WHERE type = 'supplier'

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..extract import languages
 from ..functions import text as x
 from ..operators import graph as g
 from ..operators import lifecycle as c
@@ -56,7 +57,7 @@ def label_staleness(spark, sf_dir):
 
 @query(
     "findings_merge",
-    "D14 L9 M8 H5 E16",
+    "D14 L9 M8 H5",
     """WITH o AS (SELECT source AS project, lang || '/' || doc_id AS source_file, doc_id FROM documents)
 SELECT project, source_file, 'stale_pair' AS kind, CASE WHEN doc_id % 2 = 0 THEN 't' END AS test_file, CASE WHEN doc_id % 3 = 0 THEN 'aaa' ELSE 'bbb' END AS first_seen_sha,
   CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN 'aaa' ELSE 'bbb' END AS last_seen_sha, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 AND doc_id % 30 <> 0 THEN 2 ELSE 1 END::BIGINT AS seen_count,
@@ -233,7 +234,7 @@ def policy_levels(spark, sf_dir):
 
 @query(
     "exclusion_match",
-    "C14 N3 I8 A12",
+    "C14 N3 I8",
     """SELECT lang || '/' || doc_id AS file, (lang = 'fr' AND doc_id % 10 <> 4) OR (doc_id BETWEEN 10 AND 19) OR lang = 'de' AND doc_id::VARCHAR LIKE '5%' AS excluded FROM documents""",
 )
 def exclusion_match(spark, sf_dir):
@@ -243,7 +244,7 @@ def exclusion_match(spark, sf_dir):
 
 @query(
     "test_pairs",
-    "D15 D16 Q1 B17",
+    "D15 D16 Q1",
     """SELECT lang || '/' || doc_id AS file, lang || '/' || coalesce(a, b) AS test_file FROM (SELECT lang, doc_id, (SELECT min(e.doc_id) FROM documents e WHERE e.lang = d.lang AND e.doc_id = d.doc_id + 1) AS a,
   (SELECT min(e.doc_id) FROM documents e WHERE e.lang = d.lang AND e.doc_id = d.doc_id + 2) AS b FROM documents d WHERE doc_id % 4 <> 0) WHERE coalesce(a, b) IS NOT NULL
 UNION ALL SELECT lang || '/' || doc_id, 'named' FROM documents WHERE doc_id % 4 = 0""",
@@ -256,7 +257,7 @@ def test_pairs(spark, sf_dir):
 
 @query(
     "stale_pairs_audit",
-    "Q3 Q2",
+    "Q3",
     """SELECT 'o/' || a.o_orderkey AS file, 'o/' || b.o_orderkey AS test_file FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderdate > b.o_orderdate""",
 )
 def stale_pairs_audit(spark, sf_dir):
@@ -340,3 +341,46 @@ def schema_scout(spark, sf_dir):
     tables = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
     rows = [(t, f.name, f.dataType.simpleString(), f.nullable, k) for t in tables for k, f in enumerate(a.table(spark, sf_dir, t).schema)]
     return spark.createDataFrame(rows, "table string, column string, type string, nullable boolean, ordinal int")
+
+
+@query(
+    "test_candidates",
+    "B17 R4",
+    """SELECT 'src/m' || n_nationkey || '.js' AS file, t || '/m' || n_nationkey || '.test.js' AS test_file FROM nation, (VALUES ('src'), ('src/__tests__'), ('test'), ('tests')) x(t)
+UNION ALL SELECT 'src/m' || n_nationkey || '.js', t FROM nation, LATERAL (VALUES ('src/m' || n_nationkey || '.spec.js'), ('src/__tests__/m' || n_nationkey || '.spec.js'), ('test/src/m' || n_nationkey || '.js'), ('tests/src/m' || n_nationkey || '.js'),
+  ('test/src-m' || n_nationkey || '.test.js'), ('tests/src-m' || n_nationkey || '.test.js')) x(t)""",
+)
+def test_candidates(spark, sf_dir):
+    files = a.table(spark, sf_dir, "nation").select(F.concat(F.lit("src/m"), F.col("n_nationkey").cast("string"), F.lit(".js")).alias("file"))
+
+    def work(batches):
+        for batch in batches:
+            yield batch.assign(test_file=[languages.test_candidates(f) for f in batch["file"]]).explode("test_file")
+
+    return files.mapInPandas(work, "file string, test_file string").distinct()
+
+
+@query(
+    "stale_pairs",
+    "Q2",
+    """WITH p AS (SELECT 'o/' || o_orderkey AS file, 't/' || o_orderkey AS test_file, o_orderkey AS k FROM orders) SELECT file, test_file, 'stale_pair' AS kind FROM p WHERE k % 3 = 0 AND k % 2 = 0 AND k % 5 <> 0
+UNION ALL SELECT file, '', 'missing_test' FROM p WHERE k % 3 = 0 AND k % 2 <> 0""",
+)
+def stale_pairs(spark, sf_dir):
+    o = a.table(spark, sf_dir, "orders")
+    name = lambda p: F.concat(F.lit(p), F.col("o_orderkey").cast("string"))
+    pairs = o.where("o_orderkey % 2 = 0").select(name("o/").alias("file"), name("t/").alias("test_file"))
+    changed = o.where("o_orderkey % 3 = 0").select(name("o/").alias("file")).unionByName(o.where("o_orderkey % 5 = 0").select(name("t/").alias("file")))
+    # a test that changed is no source of a pair
+    return c.stale_pairs(pairs, changed).where("file LIKE 'o/%'").fillna("", ["test_file"])
+
+
+@query(
+    "import_candidates",
+    "J9 I7",
+    """SELECT 'a/b/f' || n_nationkey || '.js' AS file, 'a/c/m' || n_nationkey || t AS candidate FROM nation, (VALUES (''), ('.js'), ('/index.js'), ('.ts'), ('.tsx'), ('/index.ts'), ('.py'), ('/__init__.py'), ('.svelte')) x(t)""",
+)
+def import_candidates(spark, sf_dir):
+    k = F.col("n_nationkey").cast("string")
+    n = a.table(spark, sf_dir, "nation").select(F.concat(F.lit("a/b/f"), k, F.lit(".js")).alias("file"), F.concat(F.lit("../c/./m"), k).alias("target"))
+    return n.select("file", F.explode(x.import_candidates(F.col("file"), F.col("target"))).alias("candidate"))

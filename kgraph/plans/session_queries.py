@@ -27,7 +27,7 @@ def window_segments(spark, sf_dir):
 
 @query(
     "window_files_last_tool",
-    "E20 B14",
+    "E20",
     f"""WITH {EVENTS} SELECT session_id, seq, file, arg_max(tool, ln) AS tool, min(ln) AS first_line FROM w WHERE kind IN ('explore', 'write') AND file IS NOT NULL GROUP BY ALL""",
 )
 def window_files_last_tool(spark, sf_dir):
@@ -36,7 +36,7 @@ def window_files_last_tool(spark, sf_dir):
 
 @query(
     "decisions",
-    "F4 I12 E8",
+    "F4 E8",
     f"""WITH {EVENTS}, p AS (SELECT *, kind IN ('explore', 'write') AND file IS NOT NULL AS acts FROM w),
 l AS (SELECT *, last_value(CASE WHEN acts THEN kind END IGNORE NULLS) OVER (PARTITION BY session_id, seq ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM p),
 c AS (SELECT *, (acts AND kind = 'write' AND coalesce(prev = 'explore', false)) AS closes FROM l),
@@ -127,7 +127,7 @@ def session_project_match(spark, sf_dir):
 
 @query(
     "decision_slice",
-    "K9 C7 C8",
+    "K9 C7",
     f"""WITH {EVENTS}, o AS (SELECT *, ln - min(ln) OVER (PARTITION BY session_id, seq) + 1 AS pos FROM w) SELECT session_id, seq, ln, pos, tool FROM o WHERE pos BETWEEN 2 AND 4""",
 )
 def decision_slice(spark, sf_dir):

@@ -31,7 +31,7 @@ def stream_hash_dedup(spark, sf_dir):
 
 @query(
     "stream_tumbling_windows",
-    "L13",
+    "DM3",
     """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CASE event_type WHEN 'signup' THEN 'boundary' ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY ALL""",
 )
 def stream_tumbling_windows(spark, sf_dir):

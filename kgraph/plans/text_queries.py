@@ -71,7 +71,7 @@ def search_promoted_stopwords(spark, sf_dir):
 
 @query(
     "grep_context",
-    "K5 F8 G7 E12",
+    "K5 F8 G7",
     rf"""WITH {LINES}, w AS (SELECT project, file, line_no, text, coalesce(string_agg(text, chr(10)) OVER (PARTITION BY project, file ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS before,
   coalesce(string_agg(text, chr(10)) OVER (PARTITION BY project, file ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), '') AS after FROM lines)
 SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY project, file ORDER BY line_no) AS n FROM w WHERE regexp_matches(text, 'token|[Ii]ng the ')) WHERE n <= 20""",
@@ -119,7 +119,7 @@ def entropy_tokens(spark, sf_dir):
 
 @query(
     "html_links",
-    "B4 H6",
+    "H6",
     r"""SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""",
 )
 def html_links(spark, sf_dir):

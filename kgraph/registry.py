@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, lifecycle_queries, session_queries, stream_queries, text_queries  # noqa: F401
+from .plans import graph_queries, lifecycle_queries, session_queries, state_queries, stream_queries, text_queries  # noqa: F401
 from .plans.base import OPERATORS, ORACLE_SQL, QUERIES
 
 __all__ = ["OPERATORS", "ORACLE_SQL", "QUERIES"]
