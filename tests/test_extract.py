@@ -135,12 +135,12 @@ def test_scan_resolves_imports_and_makes_stubs(spark):
 
 
 def test_three_arguments_need_a_word_before_them():
-    found = lambda body: [d[0] for d in detect("a.js", body, "f", body)]
+    found = lambda body: [d[0] for d in lang.detect("a.js", body, "f", body)]
     assert "express-middleware" in found("function f(req, res, next) {}") and "express-middleware" in found("call(a, b, c)")
     assert found("; (a, b, c)") == [] and found("[(req, res, next)]") == []
 
 
 def test_route_files_of_a_framework():
-    assert [d[:4] for d in detect("src/+page.server.ts", "", "load", None)] == [("svelte-load", "data-access", "load function", 0.95)]
-    assert [d[4] for d in detect("src/+server.js", "", "POST", "x")] == [("sveltekit", "post")]
-    assert detect("src/page.js", "", "load", None) == [] and detect("src/+server.py", "", "GET", None) == []
+    assert [d[:4] for d in lang.detect("src/+page.server.ts", "", "load", None)] == [("svelte-load", "data-access", "load function", 0.95)]
+    assert [d[4] for d in lang.detect("src/+server.js", "", "POST", "x")] == [("sveltekit", "post")]
+    assert lang.detect("src/page.js", "", "load", None) == [] and lang.detect("src/+server.py", "", "GET", None) == []
