@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of text that are split into words at a time.
+SLICE = 1 << 20
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def slices(data: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """The text cut at white space into slices of about so many bytes."""
+    at = 0
+    while at < len(data):
+        found = _BLANK.search(data, at + size)
+        end = found.start() if found else len(data)
+        yield data[at:end]
+        at = end
+
+
 #: Folders that materialize has written, in order.
 WRITTEN: list[str] = []
 

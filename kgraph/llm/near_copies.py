@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, release
+from .common import SLICE, materialize, partitions, release, slices
 from .components import connected_components
 from .simhash import SimHashParams, fingerprint, links
 from .suffix_dedup import inverse_powers, mixed, prefix_hashes
@@ -42,8 +42,6 @@ RANGES = 128
 HUBS = 8
 #: Sets of a shingle from which on those outside its largest component are held against the others one by one.
 MANY = 32
-#: Bytes of text whose words are hashed together.
-SLICE = 1 << 20
 #: Factors of a shingle's words.
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
@@ -59,17 +57,6 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mixed((sums[end] - sums[begin]) * inverse_powers(len(a))[begin]), begin
 
 
-def _slices(data: bytes) -> Iterator[bytes]:
-    """The text cut at white space into slices of about SLICE bytes."""
-    at = 0
-    while at < len(data):
-        end = at + SLICE
-        while end < len(data) and not BLANK[data[end]]:
-            end += 1
-        yield data[at:end]
-        at = end
-
-
 def _shingles(words: np.ndarray) -> np.ndarray:
     """Hashes of the shingles; a text of fewer words is one shingle, one without words none."""
     n = len(words)
@@ -95,7 +82,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     for t in raw:
         if len(t) > SLICE:
             flush()
-            out.append(np.unique(_shingles(np.concatenate([_word_hashes(p)[0] for p in _slices(t)])).view(np.int64)))
+            out.append(np.unique(_shingles(np.concatenate([_word_hashes(p)[0] for p in slices(t)])).view(np.int64)))
             continue
         run.append(t)
         size += len(t)

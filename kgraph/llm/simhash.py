@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, slices
 from .components import connected_components
 
 
@@ -37,22 +37,30 @@ class SimHashParams:
 
 
 def fingerprint(text: str | None, params: SimHashParams = SimHashParams()) -> int:
-    """Bit b is 1 if it is set in over half of the shingles' hashes; 0 for a text without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    k = params.shingle
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= k:
-        hashes = [digest(b" ".join(words), params.seed)]
-    else:
-        hashes = [digest(b" ".join(words[i : i + k]), params.seed) for i in range(len(words) - k + 1)]
+    """Bit b is 1 if it is set in over half of the shingles' hashes; 0 for a text without words.
+
+    Words are taken by slices of the text, with the last ones of the slice before, so that a long text needs no more memory
+    than its bytes."""
+    k, digest = params.shingle, xxhash.xxh64_intdigest
+    total, n, words = np.zeros(64, dtype=np.int64), 0, []
+    for part in slices((text or "").encode("utf-8", "surrogatepass").lower(), 1 << 18):
+        words += part.split()
+        if len(words) >= k:
+            hashes = [digest(b" ".join(words[i : i + k]), params.seed) for i in range(len(words) - k + 1)]
+            total += _bits(hashes)
+            n += len(hashes)
+            words = words[len(words) - k + 1 :]
+    if n == 0:
+        if not words:
+            return 0
+        total, n = _bits([digest(b" ".join(words), params.seed)]), 1
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def _bits(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit."""
     h = np.array(hashes, dtype="<u8")
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        part = h[at : at + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, params: SimHashParams = SimHashParams()) -> DataFrame:
