@@ -72,3 +72,11 @@ def let(value: Column, body) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def smaller_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Rows with whole texts go to Python so many at a time, where the session has not set a number of its own: a worker holds a
+    batch as Arrow, as strings and as bytes, and two workers share an executor's memory with the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, materialize, partitions, release, slices
+from .common import SLICE, materialize, partitions, release, slices, smaller_batches
 from .components import connected_components
 from .simhash import SimHashParams, fingerprint, links
 from .suffix_dedup import inverse_powers, mixed, prefix_hashes
@@ -33,7 +33,7 @@ from .suffix_dedup import inverse_powers, mixed, prefix_hashes
 SHINGLE, LEAST = 5, (4, 5)
 #: Buckets in which shingles are counted for their order: an eighth of all shingles, within these powers of two, so that a
 #: shingle that many sets have stands out from what shares its bucket.  A byte a bucket reaches every task.
-LEAST_BUCKETS, MOST_BUCKETS = 17, 24
+LEAST_BUCKETS, MOST_BUCKETS = 17, 22
 #: Buckets that are summed together.
 BLOCK = 1 << 16
 #: Ranges of hashes in which a sketch counts a set's shingles.
@@ -347,6 +347,7 @@ def near_copy_groups(docs: DataFrame, params: SimHashParams) -> DataFrame:
 
     Null and empty texts are one group, as are all texts without words.  Other columns are ignored.  An empty table gives
     an empty result."""
+    smaller_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text"))
     nodes = materialize(docs.mapInPandas(_nodes(params), NODES), "nodes")
