@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..sources import adapters as a
-from .base import BEST, GRAPH, LABELS, ORACLE_SQL, query
+from .base import BEST, GRAPH, LABELS, query
 
 
 def _graph(spark, sf_dir):
@@ -29,16 +29,8 @@ def blast_radius_3hop(spark, sf_dir):
     return g.blast_radius(nodes.where("file = 'region/0'"), hops).select("root_project", "root", "file", "project", "depth")
 
 
-@query("blast_radius_all_roots", "J1 D1", _blast("type IN ('region', 'nation', 'customer', 'supplier')"))
+@query("blast_radius_all_roots", "J1 D1", _blast("true"))
 def blast_radius_all_roots(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    hops = g.file_edges(nodes, edges, a.edge_types(spark))
-    roots = nodes.where("type IN ('region', 'nation', 'customer', 'supplier')")
-    return g.blast_radius(roots, hops).select("root_project", "root", "file", "project", "depth")
-
-
-@query("blast_radius_whole", "J1 D1", _blast("true"))
-def blast_radius_whole(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     return g.blast_radius(nodes, g.file_edges(nodes, edges, a.edge_types(spark))).select("root_project", "root", "file", "project", "depth")
 
@@ -60,7 +52,7 @@ def direct_dependents(spark, sf_dir):
     "walk_flow",
     "J3",
     f"""WITH RECURSIVE {GRAPH}, step AS (SELECT DISTINCT source_id, target_id FROM edges),
-walk AS (SELECT id AS root, id, 0 AS depth FROM nodes WHERE type = 'orders' AND id % 5 = 0
+walk AS (SELECT id AS root, id, 0 AS depth FROM nodes
   UNION ALL SELECT root, target_id, depth + 1 FROM walk JOIN step ON source_id = id WHERE depth < 8),
 least AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY ALL)
 SELECT l.root, l.id, l.depth, coalesce(min(p.id), -1) AS parent FROM least l LEFT JOIN (SELECT p.root, p.id, p.depth, s.target_id FROM least p JOIN step s ON s.source_id = p.id) p
@@ -68,13 +60,7 @@ SELECT l.root, l.id, l.depth, coalesce(min(p.id), -1) AS parent FROM least l LEF
 )
 def walk_flow(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    return g.walk_flow(nodes.where("type = 'orders' AND id % 5 = 0"), edges).fillna(-1, ["parent"])
-
-
-@query("walk_flow_whole", "J3", ORACLE_SQL["walk_flow"].replace(" AND id % 5 = 0", ""))
-def walk_flow_whole(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    return g.walk_flow(nodes.where("type = 'orders'"), edges).fillna(-1, ["parent"])
+    return g.walk_flow(nodes, edges).fillna(-1, ["parent"])
 
 
 @query(
@@ -101,22 +87,10 @@ def trace(spark, sf_dir):
 @query(
     "node_bundle",
     "J6 D2",
-    f"""WITH {GRAPH}, near AS (SELECT source_id AS id, 'out' AS direction, type, target_id AS other_id FROM edges UNION ALL SELECT target_id, 'in', type, source_id FROM edges)
-SELECT near.id, direction, near.type, other_id, n.name AS other_name, n.type AS other_type FROM near JOIN nodes n ON n.id = other_id WHERE near.id % 8 IN (1, 3)""",
-)
-def node_bundle(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    none = a.labels(spark, sf_dir).where("false")
-    return g.node_bundle(nodes, edges, none).where("id % 8 IN (1, 3)").select("id", "direction", "type", "other_id", "other_name", "other_type")
-
-
-@query(
-    "node_bundle_whole",
-    "J6 D2",
     f"""WITH {GRAPH}, {LABELS}, {BEST}, near AS (SELECT source_id AS id, 'out' AS direction, type, target_id AS other_id FROM edges UNION ALL SELECT target_id, 'in', type, source_id FROM edges)
 SELECT near.id, direction, near.type, other_id, n.name AS other_name, n.type AS other_type, coalesce(best.term, '') AS label FROM near JOIN nodes n ON n.id = other_id LEFT JOIN best ON best.node_id = other_id""",
 )
-def node_bundle_whole(spark, sf_dir):
+def node_bundle(spark, sf_dir):
     """Labels are those of the document whose ID is the neighbour's."""
     out = g.node_bundle(*_graph(spark, sf_dir), a.labels(spark, sf_dir)).fillna("", ["label"])
     return out.select("id", "direction", "type", "other_id", "other_name", "other_type", "label")

@@ -10,7 +10,7 @@ from ..operators import graph as g
 from ..operators import lifecycle as c
 from ..operators import search as s
 from ..sources import adapters as a
-from .base import GRAPH, LABELS, ORACLE_SQL, query
+from .base import GRAPH, LABELS, query
 from .text_queries import LINES
 
 
@@ -123,35 +123,30 @@ def signals_active(spark, sf_dir):
     return c.active_signals(_signals(spark, sf_dir), "on_start", 30).select("id", "weight")
 
 
-@query(
-    "signals_for_paths",
-    "C13 I24",
-    f"""WITH {SIGNALS} SELECT 'customer/' || c_custkey AS path, id FROM customer, sg WHERE id <= 40 AND (contains('*/' || id || '?', 'customer/' || c_custkey) OR regexp_full_match('customer/' || c_custkey, '(?s).*/' || id || '.'))""",
-)
-def signals_for_paths(spark, sf_dir):
-    paths = a.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"))
-    return c.signals_for(_signals(spark, sf_dir).where("id <= 40"), paths).select("path", "id")
-
-
 def _customer_paths(spark, sf_dir):
     return a.table(spark, sf_dir, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"))
 
 
-@query("project_signals", "C11 C13 I24")
+# a pattern is "*/<id>?": it matches a path that ends in "/<id>" and one more character
+MATCHED = f"""WITH {SIGNALS}, paths AS (SELECT 'customer/' || c_custkey AS path FROM customer),
+pairs AS (SELECT path, sg.*, suffix(left(path, length(path) - 1), '/' || id) AS matched, contains('*/' || id || '?', path) AS named FROM paths, sg)"""
+
+
+@query("signals_for_paths", "C13 I24", f"{MATCHED} SELECT path, id FROM pairs WHERE matched OR named")
+def signals_for_paths(spark, sf_dir):
+    return c.signals_for(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
+
+
+@query("project_signals", "C11 C13 I24", f"{MATCHED} SELECT path, id FROM pairs WHERE NOT archived AND (matched OR named)")
 def project_signals(spark, sf_dir):
     return c.project_signals(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
 
 
-@query("pre_write_signals", "C12 I24")
+@query("pre_write_signals", "C12 I24", f"{MATCHED} SELECT path, id FROM pairs WHERE NOT archived AND NOT passive AND matched")
 def pre_write_signals(spark, sf_dir):
     return c.pre_write_signals(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
 
 
-@query("signals_for_all_paths", "C13 I24")
-def signals_for_all_paths(spark, sf_dir):
-    return c.signals_for(_signals(spark, sf_dir), _customer_paths(spark, sf_dir)).select("path", "id")
-
-
 @query("stale_signals", "L12", f"WITH {SIGNALS} SELECT id, weight FROM sg WHERE NOT archived AND weight < 30 AND updated_at < TIMESTAMP '2026-01-01' - INTERVAL 180 DAYS")
 def stale_signals(spark, sf_dir):
     return c.stale_signals(_signals(spark, sf_dir), "2026-01-01 00:00:00").select("id", "weight")
@@ -269,21 +264,12 @@ def stale_pairs_audit(spark, sf_dir):
 @query(
     "file_collisions",
     "D17 P3 P4 E18 F12",
-    """WITH t AS (SELECT 'p' || l_partkey AS path, l_suppkey AS doc, l_linenumber * 10 AS first, l_linenumber * 10 + (l_suppkey % 12) AS last FROM lineitem WHERE l_partkey <= 60),
+    """WITH t AS (SELECT 'p' || l_partkey AS path, l_suppkey AS doc, l_linenumber * 10 AS first, l_linenumber * 10 + (l_suppkey % 12) AS last FROM lineitem),
 pairs AS (SELECT DISTINCT a.path, a.doc AS u, b.doc AS v FROM t a JOIN t b ON a.path = b.path AND a.doc < b.doc), clash AS (SELECT DISTINCT path FROM pairs WHERE NOT v = u + 1),
 o AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY path ORDER BY first NULLS FIRST, last, doc) < first, true) AS apart FROM t WHERE path IN (SELECT path FROM clash))
 SELECT path, count(DISTINCT doc) AS docs, CASE WHEN bool_and(apart) THEN 'soft' ELSE 'hard' END AS severity FROM o GROUP BY ALL""",
 )
 def file_collisions(spark, sf_dir):
-    t = a.table(spark, sf_dir, "lineitem").where("l_partkey <= 60")
-    first = F.col("l_linenumber") * 10
-    touched = t.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_suppkey").alias("doc"), first.alias("first"), (first + F.col("l_suppkey") % 12).alias("last"))
-    docs = touched.select("doc").distinct()
-    return c.overlaps(touched, docs.select("doc", (F.col("doc") + 1).alias("target")))
-
-
-@query("file_collisions_whole", "D17 P3 P4 E18 F12", ORACLE_SQL["file_collisions"].replace(" WHERE l_partkey <= 60", ""))
-def file_collisions_whole(spark, sf_dir):
     t = a.table(spark, sf_dir, "lineitem")
     first = F.col("l_linenumber") * 10
     touched = t.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("path"), F.col("l_suppkey").alias("doc"), first.alias("first"), (first + F.col("l_suppkey") % 12).alias("last"))

@@ -1,19 +1,16 @@
-from kgraph.registry import ORACLE_SQL, QUERIES
+from kgraph.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_queries_over_whole_tables(spark):
-    parts = QUERIES["blast_radius_whole"](spark, SF).where("root LIKE 'part/%'").select("root").distinct().count()
-    assert parts > 0
-    roots = QUERIES["walk_flow_whole"](spark, SF).select("root").distinct().count()
-    assert roots == spark.read.parquet(f"{SF}/orders.parquet").count()
-    paths = {r.path for r in QUERIES["file_collisions_whole"](spark, SF).select("path").collect()}
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    parts = QUERIES["blast_radius_all_roots"](spark, SF).where("root LIKE 'part/%'").select("root").distinct().count()
+    assert parts == table("lineitem").select("l_partkey").distinct().count()
+    roots = QUERIES["walk_flow"](spark, SF).select("root").distinct().count()
+    assert roots == sum(table(t).count() for t in ("region", "nation", "customer", "supplier", "part", "orders"))
+    paths = {r.path for r in QUERIES["file_collisions"](spark, SF).select("path").collect()}
     assert any(int(p[1:]) > 60 for p in paths)
-    bundle = QUERIES["node_bundle_whole"](spark, SF)
+    bundle = QUERIES["node_bundle"](spark, SF)
     assert bundle.select("other_type").distinct().count() == 6 and bundle.where("label <> ''").count() > 0
-
-
-def test_sql_has_no_subset():
-    for name, subset in (("walk_flow", "% 5"), ("file_collisions", "<= 60"), ("node_bundle", "% 8 IN"), ("blast_radius_all_roots", "type IN")):
-        assert subset in ORACLE_SQL[name] and subset not in ORACLE_SQL["blast_radius_whole" if "blast" in name else f"{name}_whole"]
+    assert QUERIES["signals_for_paths"](spark, SF).agg({"id": "max"}).first()[0] >= table("customer").count() // 10 - 1
