@@ -21,8 +21,7 @@ from .common import WORD, let
 
 #: Runs of letters, digits and underscores, or of other visible characters.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOL = "[#*$%&|<>]"
 #: Ids of trusted documents that are broadcast; more meet the documents by a shuffle.
 BROADCAST_IDS = 1 << 21
 
@@ -92,7 +91,7 @@ def _repeat_words(words: Column) -> Column:
     """Words in 5-word windows that the text holds twice or more, the first such window included."""
 
     def covered(hashes: Column) -> Column:
-        keyed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        keyed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
             last = F.size(s) - 1
@@ -100,7 +99,7 @@ def _repeat_words(words: Column) -> Column:
                 s,
                 lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < last) & (F.get(s, i + 1)["h"] == x["h"])),
             )
-            return F.array_sort(F.transform(twice, lambda x: x["i"]))
+            return F.sort_array(F.transform(twice, lambda x: x["i"]))
 
         zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).alias("at"))
         total = F.aggregate(
@@ -110,12 +109,12 @@ def _repeat_words(words: Column) -> Column:
         )["n"]
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(total)
 
-    def windows(w: Column) -> Column:
-        n = F.size(w)
-        at = F.when(n >= 5, F.sequence(F.lit(1), F.greatest(n - 4, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.slice(w, i, 5)))
+    def windows(h: Column) -> Column:
+        starts = F.slice(h, 1, F.greatest(F.size(h) - 4, F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, 5)]))
 
-    return let(let(words, windows), covered)
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(let(hashes, windows), covered)
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, params: QualityParams = QualityParams(), carry: bool = False) -> DataFrame:
@@ -144,8 +143,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, params: QualityParams = Q
     out = words.select(
         "doc_id",
         long(F.size("words")).alias("n_words"),
-        long(F.length(F.translate("text", BLANKS, ""))).alias("word_chars"),
-        long(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"),
+        long(F.length(F.array_join("words", ""))).alias("word_chars"),
+        long(F.regexp_count("text", F.lit(SYMBOL))).alias("n_symbols"),
         long(let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
         ratio.alias("log_ratio"),
