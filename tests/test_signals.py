@@ -1,6 +1,10 @@
 import re
 
+import duckdb
+
+from kgraph import registry
 from kgraph.operators import lifecycle as c
+from kgraph.operators import state as st
 
 PATHS = ["app", "src/app/a.js", "src/app/b.js", "lib/x.py", "web", "app", "a+b"]
 GLOBS = ["src/app/*", "*.js", "src/?pp/a.js", "*", "??b", "projects/app/*", "lib/x.py", "a+b", "*/b.*", None, "", "w*b"]
@@ -25,3 +29,22 @@ def test_more_than_ten_thousand_signals(spark):
     signals = spark.range(10_050).selectExpr("id", "concat('f/', id) AS file_pattern")
     paths = spark.range(10_050).selectExpr("concat('f/', id) AS path")
     assert c.signals_for(signals, paths).selectExpr("path", "id").where("path = concat('f/', id)").count() == 10_050
+
+
+def test_ids_of_added_signals_do_not_follow_the_order_of_arrival(spark):
+    schema = "type string, weight int, polarity string, label string, description string, archived boolean"
+    rows = [("amygdala", 50, p, "same", d, z) for p in "+-" for d in ("x", None, "y") for z in (True, False)]
+    old = spark.createDataFrame([(7, "amygdala", 1, "+", "old", None, False)], f"id long, {schema}")
+    added = lambda new: {tuple(r) for r in st.add_signals(old, spark.createDataFrame(new, schema).coalesce(1)).collect()}
+    assert len(added(rows)) == 13 and added(rows) == added(rows[::-1]) == added(rows[5:] + rows[:5])
+
+
+def test_signal_writes_is_the_sql_with_its_ties_settled(spark):
+    """The SQL leaves ties of label, type and weight open, and DuckDB's answers differ; with them settled there is one answer."""
+    sql, order = registry.ORACLE_SQL["signal_writes"], "ORDER BY label, type, weight"
+    assert sql.count(order) == 1
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.01/part.parquet'")
+    want = con.execute(sql.replace(order, f"{order}, archived, description, polarity")).fetchall()
+    got = registry.QUERIES["signal_writes"](spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
