@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Shuffle files that no frame needs any more are removed now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder.  Spark removes its files once the data is no longer referred to if
     spark.cleaner.referenceTracking.cleanCheckpoints is set."""
@@ -30,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder as Parquet, which takes less of it than a checkpoint; stays, as the returned frame reads it."""
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    del df  # else its shuffles are still needed
+    drop_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system, if it is there."""
     jvm = spark._jvm

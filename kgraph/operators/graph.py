@@ -10,10 +10,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cut import cut
+from ..functions.cut import cut, drop_shuffles, store
 
 #: Followed edge types, at most: they become a list of literals, so that tables of other types are not read.
 MOST_EDGE_TYPES = 10_000
+#: Roots are taken in so many slices, if there are so many of them for each: what is shuffled at a time is a slice's.
+SLICES, SLICE_ROOTS = 8, 1_000_000
+
+
+def _slices(count: int) -> int:
+    return min(SLICES, 1 + count // SLICE_ROOTS)
+
+
+def _slice(df: DataFrame, by: list[str], k: int, of: int) -> DataFrame:
+    """The k-th of slices by those columns; all rows are in one of them."""
+    return df if of == 1 else df.where(F.pmod(F.xxhash64(*by), F.lit(of)) == k)
 
 
 def file_edges(nodes: DataFrame, edges: DataFrame, edge_types: DataFrame | None = None) -> DataFrame:
@@ -63,18 +74,59 @@ def direct_dependencies(hops: DataFrame) -> DataFrame:
 def walk_flow(roots: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
     """Roots: id.  Outbound walk over all edge types: root, id, depth, parent (the node it was first reached from: the
     smallest, which stands for queue order).  Nodes beyond the depth are not given; see ``truncated``."""
-    step = cut(edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")).distinct())
-    seen = roots.select(F.col("id").alias("root"), "id").withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("long"))
-    frontier, levels = seen, [seen]
+    step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"))
+    own = roots.select(F.col("id").alias("root"), "id").withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast("long"))
+    return own.unionByName(_walk(roots.select("id"), step, depth))
+
+
+def _walk(roots: DataFrame, step: DataFrame, depth: int) -> DataFrame:
+    """walk_flow without the roots themselves.
+
+    Where few nodes are passed through and all of these are roots, their walks are made first, and a root's is put together from
+    those of the nodes it points to: each edge is shuffled to its target once, and what is found to its root once."""
+    count = roots.count() if depth > 1 else 0
+    inner = _passed(roots, step, count // 2) if count > 1 else None
+    if inner is None:
+        return _walk_by_level(roots, step, depth)
+    onward = cut(step.join(inner.withColumnRenamed("id", "at"), "at", "left_semi").distinct())
+    inner_walk = _walk(inner, onward, depth - 1)
+    inner_walk = cut(inner_walk.select(F.col("root").alias("next"), "id", (F.col("depth") + 1).alias("depth"), "parent"))
+    drop_shuffles(roots.sparkSession)
+    slices = _slices(count)
+
+    def walked(k: int) -> DataFrame:
+        from_root, own = _slice(step, ["at"], k, slices), _slice(roots, ["id"], k, slices)
+        # a parent at depth 1 is the root: it need not be shuffled
+        direct = from_root.select(F.col("at").alias("root"), F.col("next").alias("id"), F.lit(1).alias("depth"), F.lit(None).cast("long").alias("parent"))
+        through = from_root.join(inner_walk, "next").select(F.col("at").alias("root"), "id", "depth", "parent")
+        found = direct.unionByName(through).where("root <> id").repartition("root")
+        found = found.join(own.select(F.col("id").alias("root")), "root", "left_semi")
+        least = found.groupBy("root", "id").agg(F.min(F.struct("depth", "parent")).alias("least"))
+        return least.select("root", "id", "least.depth", F.coalesce("least.parent", "root").alias("parent"))
+
+    return walked(0) if slices == 1 else reduce(DataFrame.unionByName, [store(walked(k), "walk") for k in range(slices)])
+
+
+def _passed(roots: DataFrame, step: DataFrame, most: int) -> DataFrame | None:
+    """id: the nodes that have edges in and out, if they are no more than most and all of them roots."""
+    into, out = step.select(F.col("next").alias("id")).distinct(), step.select(F.col("at").alias("id")).distinct()
+    inner = cut(into.join(out, "id", "left_semi"))
+    return inner if inner.count() <= most and inner.join(roots, "id", "left_anti").isEmpty() else None
+
+
+def _walk_by_level(roots: DataFrame, step: DataFrame, depth: int) -> DataFrame:
+    step = cut(step.distinct())
+    seen = roots.select(F.col("id").alias("root"), "id")
+    frontier, levels = seen, []
     for level in range(1, depth + 1):
         found = frontier.select("root", F.col("id").alias("at")).join(step, "at")
         found = found.groupBy("root", F.col("next").alias("id")).agg(F.min("at").alias("parent"))
-        found = found.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(level))
+        found = found.join(seen, ["root", "id"], "left_anti").withColumn("depth", F.lit(level))
         found = cut(found.select("root", "id", "depth", "parent"))
+        levels.append(found)
         if found.isEmpty():
             break
-        levels.append(found)
-        seen = seen.unionByName(found)
+        seen = seen.unionByName(found.select("root", "id"))
         frontier = found
     return reduce(DataFrame.unionByName, levels)
 
