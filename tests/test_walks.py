@@ -39,7 +39,14 @@ def test_walks_against_brute_force(spark, monkeypatch):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, walks(nodes, pairs, 4)))
 
 
-@pytest.mark.parametrize("name, most", [("walk_flow", 40)])
+def test_dependents_in_slices(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, QUERIES["blast_radius_all_roots"](spark, "/root/testdata/sf0.001").collect()))
+    whole = rows()
+    monkeypatch.setattr(g, "_slices", lambda count: 3)
+    assert rows() == whole
+
+
+@pytest.mark.parametrize("name, most", [("walk_flow", 40), ("blast_radius_all_roots", 80)])
 def test_bytes_on_disk(spark, monkeypatch, name, most):
     monkeypatch.setattr(g, "_slices", lambda count: 4, raising=False)
     blocks, shared, over, peak = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(), Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent, threading.Event(), [0]
